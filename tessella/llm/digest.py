@@ -109,16 +109,17 @@ def merged(parts: DataFrame, delta: int = 1000) -> DataFrame:
 
 
 def quantiles(digest: DataFrame, ps: Sequence[float]) -> DataFrame:
-    """``(k, metric, n, e)``: the estimates ``e`` for the shares ``ps``, interpolated between centroids."""
+    """``(k, metric, n, e)``: the estimates ``e`` for the shares ``ps``: the mean of the centroid in which
+    the rank lies, so that the error is that centroid's weight at most, with ties as without (a line
+    between centroids would leave both where values repeat). Shares 0 and 1 give the exact ends."""
     want = np.array(ps, float)
 
     def run(t: pa.Table) -> pa.Table:
         out = []
         for n, lo, hi, m, w in zip(t["n"].to_pylist(), t["lo"].to_pylist(), t["hi"].to_pylist(), t["means"], t["weights"]):
-            m, w = m.values.to_numpy(), w.values.to_numpy()
-            run = np.cumsum(w)
-            # a centroid of weight 1 is a value itself; the ends are known exactly
-            out.append(np.interp(want * n, np.concatenate([[0.0], run - w / 2, [n]]), np.concatenate([[lo], m, [hi]])))
+            m, ends = m.values.to_numpy(), np.cumsum(w.values.to_numpy())
+            e = m[np.minimum(np.searchsorted(ends, want * n), len(m) - 1)]
+            out.append(np.where(want <= 0, lo, np.where(want >= 1, hi, e)))
         e = np.array(out).ravel()
         return pa.table({"k": t["k"], "metric": t["metric"], "n": t["n"], "e": pa.FixedSizeListArray.from_arrays(pa.array(e), len(want)).cast(pa.list_(pa.float64()))})
 
