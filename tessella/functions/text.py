@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,10 +131,6 @@ def checksum(*xs) -> Column:
 
 def zip_text(x) -> Column:
     """The value's JSON, compressed, in base 64."""
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else zlib.compress(t.encode()))
@@ -141,10 +139,6 @@ def zip_text(x) -> Column:
 
 
 def unzip_text(x) -> Column:
-    import zlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else zlib.decompress(bytes(b)).decode())

@@ -178,7 +178,7 @@ def java_pattern(fmt: str) -> str:
     out = ""
     for lit, code in _pieces(fmt):
         if lit:
-            out += "".join(f"'{c}'" if c.isalpha() else "''" if c == "'" else c for c in lit)
+            out += re.sub(r"[A-Za-z]+", r"'\g<0>'", lit.replace("'", "''"))
         elif code == "N":
             out += "SSSSSSSSS"
         elif code in CODES:
