@@ -783,12 +783,12 @@ def tick_vwap(s, d):
 
 
 @query("""WITH a AS (SELECT user_id, arg_max(value, event_id) AS v FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15' GROUP BY 1), b AS (SELECT user_id, arg_max(value, event_id) AS p FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-14' GROUP BY 1)
-SELECT a.user_id, round((v - p) / p, 6) AS change FROM a JOIN b ON a.user_id = b.user_id ORDER BY change, a.user_id LIMIT 10""")
+SELECT a.user_id, round((v - p) / p, 6) AS change FROM a JOIN b ON a.user_id = b.user_id WHERE p > 0 ORDER BY change, a.user_id LIMIT 10""")
 def tick_losers(s, d):
     on = lambda day: ev(s, d).filter((F.col("ts") >= F.lit(day).cast("timestamp_ntz")) & (F.col("ts") < F.expr(f"timestamp_ntz'{day}' + interval 1 day")))
     a = tables.group(on("2024-01-15"), ["user_id"], v=A.last("value", "event_id"))
     b = tables.group(on("2024-01-14"), ["user_id"], p=A.last("value", "event_id"))
-    j = joins.inner_join(a, b, "user_id", "p").select("user_id", F.round((F.col("v") - F.col("p")) / F.col("p"), 6).alias("change"))
+    j = joins.inner_join(a, b, "user_id", "p").filter("p > 0").select("user_id", F.round((F.col("v") - F.col("p")) / F.col("p"), 6).alias("change"))
     return tables.top(j, 10, "change", ["user_id"], down=False)
 
 
@@ -798,9 +798,9 @@ def tick_active(s, d):
 
 
 @query("""WITH j AS (SELECT c.event_id, c.value, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id AND c.ts >= v.ts)
-SELECT event_id, round((value - seen) / seen, 6) AS spread FROM j WHERE seen IS NOT NULL ORDER BY spread DESC, event_id LIMIT 10""")
+SELECT event_id, round((value - seen) / seen, 6) AS spread FROM j WHERE seen > 0 ORDER BY spread DESC, event_id LIMIT 10""")
 def tick_spreads(s, d):
     e = ev(s, d)
     right = e.filter("event_type = 'view'").select("user_id", "ts", F.col("value").alias("seen"), F.col("event_id").alias("rid"))
     j = joins.asof_join(e.filter("event_type = 'click'").select("event_id", "user_id", "ts", "value"), right, "user_id", "ts", "rid")
-    return tables.top(j.filter("seen is not null").select("event_id", F.round((F.col("value") - F.col("seen")) / F.col("seen"), 6).alias("spread")), 10, "spread", ["event_id"])
+    return tables.top(j.filter("seen > 0").select("event_id", F.round((F.col("value") - F.col("seen")) / F.col("seen"), 6).alias("spread")), 10, "spread", ["event_id"])
