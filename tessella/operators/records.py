@@ -8,7 +8,8 @@ formed; otherwise the edits say what is wrong. Runs of ordinary characters are e
 so a record is reduced to its shape, and each distinct shape is solved once, all shapes of a batch
 together. Typed checks then run as column expressions.
 
-Everything is map-only: no shuffle, whatever the share of one file.
+Everything is map-only, whatever the share of one file; rows are moved only where there are fewer
+input partitions than cores.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.schema import sanitise
+from tessella.session import spread
 
 TITLES = ("open", "close", "high", "low", "volume", "astring", "en,umstring", "datetime")
 CODES = "FFFFIEEZ"
@@ -220,7 +222,7 @@ def parsed_lines(df: DataFrame, titles: Sequence[str] = TITLES, type_codes: str
     delimiter fails. Empty input gives no rows."""
     names = sanitise(titles)
     p = parse(F.col(line), F.col(delim), len(names))
-    kept = df.filter((F.col(line_no) > header_rows) & F.col(line).isNotNull()).drop("cost", "edits", "reason", "record", "_p")
+    kept = spread(df.filter((F.col(line_no) > header_rows) & F.col(line).isNotNull()).drop("cost", "edits", "reason", "record", "_p"))
     out = kept.withColumn("_p", p).filter(F.col("_p.cost").isNotNull())
     wrong, typed = [], []
     for i, (name, code) in enumerate(zip(names, type_codes)):

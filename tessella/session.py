@@ -63,3 +63,10 @@ def range_parts(df: DataFrame, rows_per_part: int = 1_000_000) -> int:
     partition would exceed ``rows_per_part`` rows. Counting reads no columns."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(df.count() / rows_per_part))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that costs far more than moving its rows: where its files give fewer partitions
+    than the cluster has cores, its rows are dealt out evenly; otherwise it stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
