@@ -199,9 +199,14 @@ def slices(df: DataFrame, by: str, most: int = 2_000_000):
     """``df`` as pandas frames of about ``most`` rows at most, each with the condition on ``by`` that
     its rows meet: what goes to the driver and to the tasks at once stays bounded, however many
     sources there are."""
-    cuts = max(1, -(-df.count() // most))
+    first = df.limit(most + 1).toPandas()
+    if len(first) <= most:
+        yield F.lit(True), first
+        return
+    del first
+    cuts = -(-df.count() // most)
     for i in range(cuts):
-        some = F.pmod(F.xxhash64(by), F.lit(cuts)) == i if cuts > 1 else F.lit(True)
+        some = F.pmod(F.xxhash64(by), F.lit(cuts)) == i
         yield some, df.filter(some).toPandas()
 
 
