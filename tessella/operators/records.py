@@ -31,7 +31,11 @@ CODES = "FFFFIEEZ"
 
 NUMBER = r"\A[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 DIGITS = r"\A[+-]?[0-9]+\z"
-STAMP = r"\A[0-9]{4}\.[0-9]{2}\.[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
+#: A real date and time: months by their length, February 29 in leap years only, no year 0000.
+STAMP = (
+    r"\A(?!0000)(?:[0-9]{4}\.(?:(?:0[13578]|1[02])\.(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)\.(?:0[1-9]|[12][0-9]|30)|02\.(?:0[1-9]|1[0-9]|2[0-8]))"
+    r"|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)\.02\.29)"
+    r"T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]")
 
 START, PLAIN, QUOTED, ESCAPED, CLOSED = range(5)
 EDITS = ("insert quote", "delete quote", "insert delimiter", "delete delimiter")
@@ -183,13 +187,7 @@ def parse(line: Column, delim: Column, fields: int) -> Column:
 
 def is_stamp(c: Column, fraction: str = r"\.[0-9]{3}") -> Column:
     """A real date and time in ``%Y.%m.%dT%H:%M:%S`` with the fraction that the pattern demands."""
-    ymd = [F.substring(c, a, n).cast("int") for a, n in ((1, 4), (6, 2), (9, 2))]
-    shaped = c.rlike(STAMP + fraction + r"\z")
-    # month and day are looked at only where the shape holds; 9999 and 0000 are years like any other
-    y, m, d = (F.when(shaped, x) for x in ymd)
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).when(m.between(1, 12), 31).otherwise(0)
-    return F.coalesce(shaped & d.between(1, days), F.lit(False))
+    return F.coalesce(c.rlike(STAMP + fraction + r"\z"), F.lit(False))
 
 
 def to_stamp(c: Column) -> Column:

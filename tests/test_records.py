@@ -149,6 +149,22 @@ def test_stamps(spark):
     assert r.brokennanos == datetime(2021, 1, 2, 3, 4, 5, 123456) and r.brokennanos_ns == 123456789 and r.brokenmillis_ns == 0
 
 
+def test_real_dates(spark):
+    days = [f"{y:04}.{m:02}.{d:02}" for y in (0, 1, 4, 1900, 1999, 2000, 2023, 2024, 9999) for m in range(14) for d in range(33)]
+
+    def real(s):
+        try:
+            return bool(datetime.strptime(s, "%Y.%m.%d"))
+        except ValueError:
+            return False
+
+    df = spark.createDataFrame([(s, s + "T00:00:00.000") for s in days], "s string, t string")
+    from pyspark.sql import functions as F
+
+    got = dict(df.select("s", records.is_stamp(F.col("t"))).collect())
+    assert got == {s: real(s) for s in days}
+
+
 def test_whole_table_against_plain_parser(spark, sf):
     import re
 
