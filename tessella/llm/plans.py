@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm import digest, mixing, packing, repetition
 from tessella.llm.tokens import count_tokens
 from tessella.plans.tables import table
-from tessella.session import durable
+from tessella.session import durable, spread
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _packs(spark: SparkSession, d: str) -> list[tuple[str, int]]:
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return packing.pack(docs.select("doc_id", count_tokens(F.col("text")).alias("n_tokens")), _packs(spark, d), items=docs.count())
+    return packing.pack(spread(docs.select("doc_id", "text")).select("doc_id", count_tokens(F.col("text")).alias("n_tokens")), _packs(spark, d), items=docs.count())
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return durable(table(spark, d, "documents").select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens")))
+    return durable(spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", count_tokens(F.col("text")).alias("n_tokens")))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import durable
+from tessella.session import durable, spread
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?]+\s+|\n")
@@ -98,7 +98,8 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     in the same text; ``sentence`` and ``line`` the shares of characters in sentences and lines said
     before. Words are runs of letters, digits or underscores in lower case. Whole texts are read,
     in pieces of about ``chars`` characters of whole documents. Null and empty texts have 0 words
-    and shares of 0; rows of equal key are measured one by one. Map-only."""
+    and shares of 0; rows of equal key are measured one by one. Map-only; rows
+    are dealt out first where there are fewer partitions than cores."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
     names = [f"c{i}" for i in range(len(kinds))]
 
@@ -115,7 +116,7 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *map(pa.array, (count, again, phrase, sentence, line))], names=[*names, "words", "repeated_words", "phrase", "sentence", "line"])
                 a = e
 
-    picked = df.select(*[F.col(c).alias(x) for c, x in zip(kinds, names)], F.col(text).cast("string").alias("text"))
+    picked = spread(df.select(*[F.col(c).alias(x) for c, x in zip(kinds, names)], F.col(text).cast("string").alias("text")))
     shape = ", ".join(f"{x} {k}" for x, k in zip(names, kinds.values()))
     out = picked.mapInArrow(run, f"{shape}, words bigint, repeated_words bigint, phrase double, sentence double, line double")
     return out.withColumnsRenamed(dict(zip(names, kinds)))
