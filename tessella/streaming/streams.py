@@ -30,9 +30,8 @@ def socket_ticks(spark: SparkSession, host: str, port: int, schema: str) -> Data
 def stream_bars(df: DataFrame, stamp: str, width: str, aggs: dict[str, Column], keys: list[str] | None = None, late: str = "10 minutes", slide: str | None = None, origin: str | None = None) -> DataFrame:
     """Tumbling bars (sliding ones with ``slide``) per key; rows later than ``late`` are dropped. ``origin``
     moves the bars' start, as for batch bars with an explicit origin."""
-    t = F.col(stamp).cast("timestamp")
-    w = F.window(t, width, slide or width, origin)
-    return df.withColumn(stamp, t).withWatermark(stamp, late).groupBy(w.alias("w"), *(keys or [])).agg(*[a.alias(n) for n, a in aggs.items()]).select(F.col("w.start").cast("timestamp_ntz").alias("bar"), *(keys or []), *aggs)
+    w = F.window(stamp, width, slide or width, origin)
+    return df.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late).groupBy(w.alias("w"), *(keys or [])).agg(*[a.alias(n) for n, a in aggs.items()]).select(F.col("w.start").cast("timestamp_ntz").alias("bar"), *(keys or []), *aggs)
 
 
 def stream_sessions(df: DataFrame, stamp: str, gap: str, aggs: dict[str, Column], keys: list[str], late: str = "10 minutes") -> DataFrame:
