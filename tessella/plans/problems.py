@@ -126,7 +126,37 @@ flags AS (SELECT x.enumstring, x.us AS stamp_us, impossible, coalesce(frozen, 0)
           FROM x LEFT JOIN fl ON x.enumstring = fl.enumstring AND x.us = fl.us WHERE impossible OR frozen > 0 OR spike > 0)
 """
 
+FIELD = r'''("(?:[^"\\]|""|\\.)*"|[^DELIM"\n]*)'''
+
+
+def _record(inside: str, between: str) -> str:
+    """Pattern of a record of eight fields; the delimiter as it stands within brackets and between fields."""
+    return between.join([FIELD.replace("DELIM", inside)] * 8)
+
+
+# an escaped character stands for itself; doubled quotes need no decoding, as no typed value has a quote
+P1 = r"""
+WITH a AS (SELECT line_id, CASE WHEN line LIKE '%' || chr(13) THEN left(line, -1) ELSE line END AS line, delim FROM simple_qesc WHERE line_no > 1),
+b AS (SELECT line_id, line, CASE delim WHEN ',' THEN 'COMMA' WHEN ';' THEN 'SEMICOLON' WHEN '|' THEN 'PIPE' ELSE 'TAB' END AS p FROM a WHERE trim(line, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+c AS (SELECT line_id, regexp_full_match(line, p, 's') AS ok, [GROUPS] AS f FROM b),
+d AS (SELECT line_id, ok, list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN regexp_replace(substr(x, 2, length(x) - 2), '\\(.)', '\1', 'gs') ELSE x END) AS f FROM c),
+bad AS (SELECT 'simple_qesc' AS tab, line_id AS row_id FROM d WHERE NOT ok
+  OR len(list_filter(f[1:4], lambda x: x <> '' AND NOT regexp_full_match(x, '[+-]?([0-9]+([.][0-9]+)?|[.][0-9]+)([eE][+-]?[0-9]+)?'))) > 0
+  OR (f[5] <> '' AND (NOT regexp_full_match(f[5], '[+-]?[0-9]+') OR try_cast(f[5] AS BIGINT) IS NULL))
+  OR (f[8] <> '' AND NOT (regexp_full_match(f[8], 'STAMP[.][0-9]{3}') AND try_cast(replace(left(f[8], 10), '.', '-') AS DATE) IS NOT NULL))),
+st AS (SELECT intcol, unnest([brokenmillis, brokennanos]) AS x, unnest([3, 9]) AS n FROM data_stamps)
+SELECT * FROM bad UNION ALL
+SELECT DISTINCT 'data_stamps', intcol FROM st
+WHERE x <> '' AND NOT (regexp_full_match(x, 'STAMP([.][0-9]+)?') AND length(x) IN (19, 20 + n) AND try_cast(replace(left(x, 10), '.', '-') AS DATE) IS NOT NULL)
+"""
+for _name, _text in {
+    "COMMA": _record(",", ","), "SEMICOLON": _record(";", ";"), "PIPE": _record("|", "[|]"), "TAB": _record(r"\t", r"\t"), "GROUPS": ", ".join(f"regexp_extract(line, p, {i}, 's')" for i in range(1, 9)),
+    "STAMP": "[0-9]{4}[.][0-9]{2}[.][0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]",
+}.items():
+    P1 = P1.replace(_name, _text)
+
 ORACLE = {
+    "p1_found": P1,
     "p2_found": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day FROM t WHERE day_no >= 30 AND total_7 * 2 > total_30",
     "p2_totals": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day, total_7, round(total_7 / nullif(n_7, 0), 6) AS avg_7, total_30, round(total_30 / nullif(n_30, 0), 6) AS avg_30 FROM t",
     "p5_found": f"WITH {READING}, c AS (SELECT DISTINCT enumstring, us // 3600000000 AS h FROM rd), n AS (SELECT enumstring, h, lead(h) OVER (PARTITION BY enumstring ORDER BY h) AS nx FROM c) SELECT enumstring, h + 1 AS first_hour, nx - 1 AS last_hour FROM n WHERE nx > h + 1",

@@ -16,6 +16,7 @@ from tessella.functions import linalg, text, times, values
 from tessella.functions import maths as M
 from tessella.functions import windows as N
 from tessella.operators import atlas, joins, moving, ranges, tables
+from tessella.plans.dialect import Engine
 from tessella.plans.tables import table
 from tessella.session import scratch
 from tessella.sources import delimited, store
@@ -610,6 +611,145 @@ def list_folds(s, d):
     return x.select("user_id", L.fold(lambda p, q: p + q, "a", F.lit(0)).cast("bigint").alias("total"), L.dotp("a", "a").cast("bigint").alias("squares"), L.search(F.array_max("a"), "a").cast("bigint").alias("at"))
 
 
+@query(f"SELECT user_id, array_to_string(list_transform(range(10), lambda i: a[i % len(a) + 1]), ',') AS x FROM {LIST}")
+def list_take_cycle(s, d):
+    return _lists(s, d).select("user_id", F.array_join(L.take(10, "a"), ",").alias("x"))
+
+
+@query(f"SELECT user_id, array_to_string(list_sort(list_distinct(list_filter(a, lambda x: x % 2 = 0))), ',') AS even, len(list_filter(a, lambda x: x NOT IN (1, 2, 3))) AS kept, len(list_intersect(a, [1, 2, 3, 4, 5])) AS both FROM {LIST}")
+def list_sets(s, d):
+    some = F.array(*map(F.lit, (1, 2, 3, 4, 5)))
+    even = C.filter_("a", lambda x: x % 2 == 0)
+    return _lists(s, d).select("user_id", F.array_join(L.sort(L.distinct(even)), ",").alias("even"), F.size(L.except_("a", F.slice(some, 1, 3))).cast("bigint").alias("kept"), F.size(L.intersect("a", some)).cast("bigint").alias("both"))
+
+
+@query(f"SELECT user_id, array_to_string(list_transform(range(CAST(ceil(len(a) / 3.0) AS BIGINT)), lambda i: CAST(list_sum(a[i * 3 + 1:i * 3 + 3]) AS BIGINT)), ',') AS x FROM {LIST}")
+def list_ngram(s, d):
+    sums = L.mapdown(lambda c: L.fold(lambda p, q: p + q, c, F.lit(0)), L.ngram(3, "a"))
+    return _lists(s, d).select("user_id", F.array_join(sums.cast("array<bigint>"), ",").alias("x"))
+
+
+@query(f"SELECT user_id, array_to_string(list_transform(list_zip(a, range(len(a))), lambda p: p[1] * 2 + p[2]), ',') AS x, array_to_string(list_transform(range(len(a)), lambda i: CASE WHEN i = 0 THEN a[1] ELSE a[i + 1] - a[i] END), ',') AS d FROM {LIST}")
+def list_adverbs(s, d):
+    pairs = L.mapdown(lambda x, i: x * 2 + i, "a", L.enumerate_(F.size("a")))
+    return _lists(s, d).select("user_id", F.array_join(pairs, ",").alias("x"), F.array_join(L.mapback(lambda x, y: x - y, "a"), ",").alias("d"))
+
+
+@query(f"WITH x AS (SELECT user_id, unnest(a) AS v, generate_subscripts(a, 1) - 1 AS i FROM {LIST}), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY v, i) - 1 AS r FROM x) SELECT user_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY v, i) AS up, string_agg(CAST(i AS VARCHAR), ',' ORDER BY v DESC, i) AS down, string_agg(CAST(r AS VARCHAR), ',' ORDER BY i) AS rank FROM r GROUP BY 1")
+def list_grades(s, d):
+    j = lambda c: F.array_join(c.cast("array<bigint>"), ",")
+    return _lists(s, d).select("user_id", j(L.ascend("a")).alias("up"), j(L.descend("a")).alias("down"), j(L.order("a")).alias("rank"))
+
+
+@query("SELECT p_partkey, p_size AS size, array_to_string(list_transform(range(p_size), lambda i: i * i), ',') AS squares, repeat('ab', p_size % 4) AS rep FROM part")
+def range_repeat(s, d):
+    r = L.mapdown(lambda i: i * i, L.range_("p_size"))
+    return part(s, d).select("p_partkey", F.col("p_size").alias("size"), F.array_join(r, ",").alias("squares"), text.implode("", L.repeat(F.col("p_size") % 4, F.lit("ab"))).alias("rep"))
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, max(n_nationkey) AS last_key, count(*) AS n FROM nation GROUP BY 1")
+def map_verbs(s, d):
+    m = table(s, d, "nation").groupBy("n_regionkey").agg(values.map_(A.values("n_nationkey", "n_nationkey"), A.values("n_name", "n_nationkey")).alias("m"))
+    return m.select("n_regionkey", text.implode(",", values.vals("m")).alias("names"), F.array_max(values.keys("m")).alias("last_key"), F.size(values.keys("m")).cast("bigint").alias("n"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS up FROM events")
+def json_read(s, d):
+    return ev(s, d).withColumn("m", text.from_json("props", "struct<k bigint>")).select("event_id", F.col("m.k").cast("string").alias("k"), (F.col("m.k") + 1).alias("up"))
+
+
+@query("SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")
+def json_keys(s, d):
+    return atlas.keys(atlas.atlas(ev(s, d), "props")).select("key", F.col("count").alias("n"))
+
+
+@query("SELECT p_partkey, trunc(p_retailprice)::BIGINT AS i, CAST(p_size AS DOUBLE) AS f, CAST(p_size AS VARCHAR) AS s, ascii(p_name) AS code, chr(ascii(p_name)) AS back FROM part")
+def casts(s, d):
+    codes = text.int_("p_name", "string")
+    return part(s, d).select("p_partkey", text.int_("p_retailprice").alias("i"), text.float_("p_size").alias("f"), text.string("p_size").alias("s"), L.car(codes).alias("code"), text.char(F.slice(codes, 1, 1)).alias("back"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(p_size, 7), 0) AS filled, p_size = 7 AS hole FROM part")
+def null_verbs(s, d):
+    x = F.nullif(F.col("p_size"), F.lit(7))
+    return part(s, d).select("p_partkey", values.isnull(x, F.lit(0)).alias("filled"), values.isnull(x).alias("hole"))
+
+
+@query("SELECT count(DISTINCT h) = count(DISTINCT event_type) AS faithful, count(DISTINCT h) AS n FROM (SELECT event_type, hash(event_type) AS h FROM events)")
+def checksum(s, d):
+    h = ev(s, d).select("event_type", text.checksum("event_type").alias("h"))
+    return h.agg((F.countDistinct("h") == F.countDistinct("event_type")).alias("faithful"), F.countDistinct("h").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500) AS lo, greatest(l_quantity, l_tax * 500) AS hi, round(log10(l_extendedprice), 8) AS l10, round(log2(l_extendedprice), 8) AS l2, round(log10(l_extendedprice) / log10(3), 8) AS l3 FROM lineitem WHERE l_orderkey < 500")
+def mins_maxes_logs(s, d):
+    x, t = li(s, d).filter("l_orderkey < 500"), F.col("l_tax") * 500
+    return x.select("l_orderkey", "l_linenumber", C.mins("l_quantity", t).alias("lo"), C.maxes("l_quantity", t).alias("hi"), F.round(M.log("l_extendedprice"), 8).alias("l10"), F.round(M.lg("l_extendedprice"), 8).alias("l2"), F.round(M.log(F.lit(3), "l_extendedprice"), 8).alias("l3"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal < 0 OR s_acctbal > 9000")
+def insert_select(s, d):
+    x = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return tables.insert(x.filter("s_acctbal < 0"), x.filter("s_acctbal > 9000")).select("s_suppkey", "s_name")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 25")
+def take_last(s, d):
+    return tables.take(orders(s, d), -25, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT a.c_custkey, a.c_acctbal + b.c_acctbal AS c_acctbal FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey")
+def table_add(s, d):
+    c = table(s, d, "customer").select("c_custkey", "c_acctbal")
+    return tables.table_arithmetic(c, c, M.plus, ["c_custkey"])
+
+
+# the query language
+
+
+def _engine(s, d) -> Engine:
+    e = Engine(s)
+    e.add("events", ev(s, d), ["ts", "event_id"])
+    e.add("orders", orders(s, d), ["o_orderkey"])
+    e.add("part", part(s, d), ["p_partkey"])
+    e.add("lineitem", li(s, d))
+    return e
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS vwap, count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY 1")
+def dialect_group(s, d):
+    x = _engine(s, d).run("select sum(l_extendedprice * l_quantity) / sum(l_quantity) as vwap, count(*) as n from lineitem where l_discount > 0.05 group by l_returnflag")
+    return x.withColumn("vwap", F.round("vwap", 4))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-20' AND value > (SELECT avg(value) FROM events WHERE event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-20')")
+def dialect_where(s, d):
+    return _engine(s, d).run("select event_id, value from events where event_type in ['click', 'view'], ts >= 2024.01.20, value > avg(value)")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS m, max(value) OVER (PARTITION BY user_id) AS high FROM events")
+def dialect_update(s, d):
+    x = _engine(s, d).run("update events set m = mavg(3, value), high: max(value) group by user_id")
+    return x.select("event_id", F.round("m", 6).alias("m"), "high")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, max(value) AS value FROM events GROUP BY 1")
+def dialect_bars(s, d):
+    return _engine(s, d).run("select max(value) from events group by bars(1h, ts)")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 100000)")
+def dialect_delete(s, d):
+    return _engine(s, d).run("delete from orders where o_orderstatus = 'F', o_totalprice > 100000").select("o_orderkey")
+
+
+@query("SELECT p_partkey, CASE p_partkey WHEN 5 THEN 99 ELSE p_size END AS p_size FROM part UNION ALL SELECT -1, 98")
+def dialect_upsert(s, d):
+    e = _engine(s, d)
+    e.add("sizes", e.run("select p_partkey, p_size from part"), ["p_partkey"])
+    return e.run("insert into sizes values (5, 99), (-1, 98) on conflict (p_partkey) update")
+
+
 # matrices
 
 
@@ -731,6 +871,20 @@ def stream_dedup(s, d):
     return _run(x.select("user_id", "event_type"), s, "append").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events), y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, min(ts) AS begins, count(*) AS n FROM y GROUP BY user_id, s")
+def stream_sessions(s, d):
+    x = streams.stream_sessions(_stream(s, d), "ts", "1 day", {"n": F.count("*")}, ["user_id"], "60 days")
+    return _run(x, s, "complete").select("user_id", "begins", "n")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def stream_upsert(s, d):
+    out = scratch(s)
+    q = _stream(s, d).select("user_id", "event_id", "value").writeStream.foreachBatch(streams.upsert_into(out, ["user_id"], "event_id")).option("checkpointLocation", scratch(s)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(out)
+
+
 # the shapes of a financial time-series benchmark on these tables
 
 
