@@ -60,4 +60,11 @@ def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_digests, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_documents, p9_hosts)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p9_found": r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS total FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents)),
+g AS (SELECT doc_id, i, total, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM w),
+r AS (SELECT doc_id, i, total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) AS n FROM g WHERE i <= total - 7) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, total, i + k AS i FROM r, range(8) t(k))
+SELECT doc_id FROM c GROUP BY doc_id, total HAVING count(*) >= 0.25 * total""",
+}
