@@ -79,7 +79,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Keys | None, fuzzy: str |
     smallest. The right fuzzy column is dropped, colliding names get a number.
 
     Both sides are united and the last right row is carried forward, in one shuffle by the keys.
-    Where there is no key, or one key has more than ``most`` rows (counted map-side; ``split``
+    Where there is no key, or one key has more than ``most`` rows of both (counted map-side; ``split``
     decides instead), ranges of keys and time are used, with one row handed from range to range."""
     pairs = key_pairs(keys)
     lf, rf = (fuzzy, fuzzy) if isinstance(fuzzy, str) else fuzzy
@@ -96,7 +96,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Keys | None, fuzzy: str |
     r_ = right.select(*rk, F.col(rf).alias("_t"), F.lit(0).alias("_side"), tie.alias("_tie"), rcols.alias("_r"))
     both = l_.unionByName(r_, allowMissingColumns=True)
     if split is None:
-        split = not pairs or max(largest_group(left, [a for a, _ in pairs]), largest_group(right, [b for _, b in pairs])) > most
+        split = not pairs or largest_group(both, ks) > most
     if split:
         done = carry_last(both, ks, ["_t", "_side", "_tie"], F.col("_r"), "_got")
     else:

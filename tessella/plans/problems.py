@@ -155,8 +155,26 @@ for _name, _text in {
 }.items():
     P1 = P1.replace(_name, _text)
 
+# local times are tried at every quarter-hour offset; a time that fits once is read
+P3 = r"""
+WITH v AS (SELECT intcol, zone, unnest(['millis', 'micros', 'nanos', 'seminanos']) AS field, unnest([millis, micros, nanos, seminanos]) AS x FROM data_stamps),
+m AS (SELECT *, regexp_extract(x, '^(.*?)(?:[.,]([0-9]{1,9}))?( [AP]M)?(Z| [A-Z]{3,4}| ?[+-][0-9]{2}(?::?[0-9]{2})?(?:\[[A-Za-z_/]+\])?| [A-Za-z]+/[A-Za-z_]+)?$', ['head', 'frac', 'half', 'tail']) AS m FROM v WHERE x IS NOT NULL),
+t AS (SELECT *, trim(m.tail) AS tail, epoch(try_strptime(m.head || m.half, ['%Y.%m.%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%d-%b-%Y %H:%M:%S', '%Y%m%dT%H%M%S', '%b %d %Y %I:%M:%S %p']))::BIGINT AS local FROM m),
+k AS (SELECT *, CASE WHEN tail = 'Z' THEN 0
+  WHEN regexp_matches(tail, '^[+-]') THEN (CASE WHEN tail LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(tail, 2, 2) AS BIGINT) * 3600 + coalesce(try_cast(regexp_extract(tail, '^.[0-9]{2}:?([0-9]{2})', 1) AS BIGINT), 0) * 60)
+  ELSE CAST(map {'GMT': 0, 'UTC': 0, 'EST': -18000, 'EDT': -14400, 'CET': 3600, 'CEST': 7200, 'AEST': 36000, 'AEDT': 39600}[tail] AS BIGINT) END AS off,
+  CASE WHEN tail LIKE '%/%' AND tail NOT LIKE '%[%' THEN tail WHEN tail = '' THEN zone END AS place FROM t),
+z AS (SELECT intcol, field, list(local - o * 900) AS us FROM k, range(-56, 60) r(o)
+  WHERE local IS NOT NULL AND place IS NOT NULL AND epoch(timezone(place, to_timestamp(local - o * 900)))::BIGINT = local GROUP BY 1, 2),
+s AS (SELECT k.intcol, k.field, CASE WHEN regexp_full_match(x, '[0-9]{10}|[0-9]{13}|[0-9]{16}|[0-9]{19}') THEN CAST(left(x, 10) AS BIGINT)
+  WHEN off IS NOT NULL THEN local - off WHEN len(z.us) = 1 THEN z.us[1] END AS sec FROM k LEFT JOIN z ON k.intcol = z.intcol AND k.field = z.field),
+o AS (SELECT a.intcol, a.field, any_value(a.sec) AS sec, list(b.sec) AS others FROM s a LEFT JOIN s b ON a.intcol = b.intcol AND a.field <> b.field AND b.sec IS NOT NULL GROUP BY 1, 2)
+SELECT intcol, field FROM o WHERE sec IS NULL OR len(list_filter(others, lambda y: y <> sec AND 2 * len(list_filter(others, lambda w: w = y)) > len(list_filter(others, lambda w: w IS NOT NULL)))) > 0
+"""
+
 ORACLE = {
     "p1_found": P1,
+    "p3_found": P3,
     "p2_found": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day FROM t WHERE day_no >= 30 AND total_7 * 2 > total_30",
     "p2_totals": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day, total_7, round(total_7 / nullif(n_7, 0), 6) AS avg_7, total_30, round(total_30 / nullif(n_30, 0), 6) AS avg_30 FROM t",
     "p5_found": f"WITH {READING}, c AS (SELECT DISTINCT enumstring, us // 3600000000 AS h FROM rd), n AS (SELECT enumstring, h, lead(h) OVER (PARTITION BY enumstring ORDER BY h) AS nx FROM c) SELECT enumstring, h + 1 AS first_hour, nx - 1 AS last_hour FROM n WHERE nx > h + 1",
