@@ -212,7 +212,7 @@ def check(code: str, c: Column) -> tuple[Column, Column]:
 
 def parsed_lines(df: DataFrame, titles: Sequence[str] = TITLES, type_codes: str = CODES, line: str = "line", delim: str = "delim", line_no: str = "line_no", header_rows: int = 1) -> DataFrame:
     """``df``'s raw records with the columns ``cost``, ``edits``, ``reason`` and ``record`` (a struct of
-    typed fields), without headers (``line_no`` up to ``header_rows``) and blank lines (empty, white
+    typed fields), without headers (``line_no`` up to ``header_rows``; a null one is no header) and blank lines (empty, white
     space or null). ``reason`` is null for a record that loads: the right number of fields, quotes
     that enclose whole fields, every non-empty field valid for its type code (``F`` number, ``I``
     64-bit integer, ``S``/``E`` string, ``Z`` stamp). Empty fields are null, in string columns empty.
@@ -220,7 +220,7 @@ def parsed_lines(df: DataFrame, titles: Sequence[str] = TITLES, type_codes: str
     delimiter fails. Empty input gives no rows."""
     names = sanitise(titles)
     p = parse(F.col(line), F.col(delim), len(names))
-    kept = spread(df.filter((F.col(line_no) > header_rows) & F.col(line).isNotNull()).drop("cost", "edits", "reason", "record", "_p"))
+    kept = spread(df.filter(F.coalesce(F.col(line_no) > header_rows, F.lit(True)) & F.col(line).isNotNull()).drop("cost", "edits", "reason", "record", "_p"))
     out = kept.withColumn("_p", p).filter(F.col("_p.cost").isNotNull())
     wrong, typed = [], []
     for i, (name, code) in enumerate(zip(names, type_codes)):

@@ -265,7 +265,8 @@ def flagged_readings(df: DataFrame, factor: float = 10.0, least_run: int = 8, ke
     Readings of equal source and stamp are one (the smallest ``order`` counts). Null and NaN prices
     are passed over. A source with fewer than two counted values of a price has no spikes of it.
     Where the median change is 0, any value beyond both neighbours is a spike. Empty input gives no
-    rows. ``least_run`` may be 10 at most."""
+    rows. ``least_run`` may be 10 at most. Medians are found when this is called; the sorted copy of the
+    prices stays on the executors' disks until ``spark.catalog.clearCache()``."""
     if least_run > KEEP:
         raise ValueError(f"least_run is at most {KEEP}")
     rows = valid_readings(df, key, stamp).select(F.col(key).alias("k"), wall_us(F.col(stamp)).alias("t_us"), F.coalesce(F.col(order), F.lit(2**63 - 1)).alias("o"), *[denan(df, p).cast("double").alias(p) for p in PRICES])

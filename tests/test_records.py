@@ -124,12 +124,12 @@ CASES = {
 
 
 def test_lines(spark):
-    data = [(i, "f", i + 2, ",", x) for i, x in enumerate(CASES)] + [(100, "f", 1, ",", "open,close"), (101, "f", 9, None, GOOD), (102, "f", 9, ",", None), (103, "f", 9, '"', GOOD)]
+    data = [(i, "f", i + 2, ",", x) for i, x in enumerate(CASES)] + [(100, "f", 1, ",", "open,close"), (101, "f", 9, None, GOOD), (102, "f", 9, ",", None), (103, "f", 9, '"', GOOD), (104, "f", None, ",", GOOD)]
     df = spark.createDataFrame(data, "line_id long, file_name string, line_no long, delim string, line string").selectExpr("*", "1 as volume", "'mine' as reason")
     p = records.parsed_lines(df)
     ok = {r.line_id for r in records.loaded(p).collect()}
     bad = {r.line_id: r.reason for r in records.rejected(p).collect()}
-    assert ok == {i for i, x in enumerate(CASES.values()) if x}
+    assert ok == {i for i, x in enumerate(CASES.values()) if x} | {104}
     assert set(bad) == {i for i, x in enumerate(CASES.values()) if x is False} | {101, 103}
     assert all(bad.values()) and bad[101] == "unusable delimiter"
     first = records.loaded(p).filter("line_id = 0").first()
