@@ -176,6 +176,39 @@ def test_null_mapping(spark):
 TEXT = 'open,"en,um",n,when,skip\r\n1.5,"a,""b\\"c",12x,2003.09.14T04:03:19.025,z\r\n\r\n,,,2003.09.14T04:03:19.1,z,more\r\n'
 
 
+def test_headers_are_told_by_place(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("a,b\n1,x\na,b\n\n2,y\n")
+    (tmp_path / "in/b.csv").write_text("\nc,d\n3,z\n")
+    got = delimited.read_csv(spark, str(tmp_path / "in"), "SS")
+    assert got.columns == ["a", "b"] and rows(got) == [("1", "x"), ("2", "y"), ("3", "z"), ("a", "b")]
+    assert rows(delimited.read_csv(spark, str(tmp_path / "in"), "SS", header_rows=2)) == [("2", "y"), ("a", "b")]
+    assert delimited.read_csv(spark, str(tmp_path / "in"), "SS", header_rows=0).count() == 6
+    f = tmp_path / "fixed.txt"
+    f.write_text("AB CD\nAB CD\nAB EF\n")
+    assert rows(delimited.read_fixed(spark, str(f), "SS", [3, 2], header_rows=1)) == [("AB", "CD"), ("AB", "EF")]
+    f.write_text("AB CD AB EF ")
+    assert rows(delimited.read_fixed(spark, str(f), "SS", [3, 3], header_rows=1, newline_separated=False)) == [("AB", "EF")]
+    f.write_text("AB CD AB E")
+    with pytest.raises(Exception, match="[Pp]artial record"):
+        delimited.read_fixed(spark, str(f), "SS", [3, 3], newline_separated=False).collect()
+
+
+@pytest.mark.parametrize("split", [None, "7"])
+def test_quoted_line_feeds(spark, tmp_path, split):
+    f = tmp_path / "q.csv"
+    f.write_text('a,b\n1,"x\ny,""q"" \\"\n z"\na,b\n\n2,"y\n\nw"\n3,q\n')
+    if split:  # records across the splits of a file
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = rows(delimited.read_csv(spark, str(f), "SS", quoted_line_feeds=True))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [("1", 'x\ny,"q" "\n z'), ("2", "y\n\nw"), ("3", "q"), ("a", "b")]
+
+
 def test_delimited_files(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_bytes(TEXT.encode())
