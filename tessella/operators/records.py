@@ -39,22 +39,27 @@ STAMP = (
 
 START, PLAIN, QUOTED, ESCAPED, CLOSED = range(5)
 EDITS = ("insert quote", "delete quote", "insert delimiter", "delete delimiter")
-#: An edit's weight: one unit of cost above 44 bits, and one in the edit's own counter of 11 bits below.
-WEIGHTS = [(1 << 46) + (1 << 11 * i) for i in range(4)]
-LONGEST = 1500
 
 
-def solve(shapes: Sequence[str], fields: int) -> np.ndarray:
+def counter_bits(length: int, fields: int) -> int:
+    """Bits that hold any count of edits in the cheapest parse of so many symbols."""
+    return (length + 2 * fields).bit_length() + 1
+
+
+def solve(shapes: Sequence[str], fields: int) -> list[int]:
     """The least weight for each shape over ``o`` (ordinary), ``d`` (delimiter), ``q`` (quote), ``b``
-    (backslash) and ``n`` (line feed). Weights hold the counts of edits for shapes up to ``LONGEST``
-    symbols; beyond, each edit weighs 1 and the total is the cost alone."""
+    (backslash) and ``n`` (line feed). A weight has the cost above four counters, one for each kind
+    of edit, of ``counter_bits`` each, so that the counts are exact at any length: in 64 bits for
+    usual records, in Python's whole numbers for those too long for that."""
     n, length = len(shapes), max(map(len, shapes), default=0)
-    iq, dq, idl, dd = WEIGHTS if length <= LONGEST else [1] * 4
-    inf = np.int64(1 << 62)
+    bits = counter_bits(length, fields)
+    iq, dq, idl, dd = [(1 << 4 * bits) + (1 << bits * i) for i in range(4)]
+    wide = 5 * bits > 61
+    inf = 1 << 5 * bits if wide else np.int64(1 << 62)
     text = np.full((n, length), "", "<U1")
     for i, s in enumerate(shapes):
         text[i, :len(s)] = list(s)
-    c = np.full((5, fields, n), inf)
+    c = np.full((5, fields, n), inf, object if wide else np.int64)
     c[START, 0] = 0
 
     def insert() -> None:
@@ -93,16 +98,14 @@ def solve(shapes: Sequence[str], fields: int) -> np.ndarray:
                 old[:, :, mine] = np.minimum(part, inf)
         c = old
     insert()
-    return c[[START, PLAIN, CLOSED], fields - 1].min(0)
+    return [int(w) for w in c[[START, PLAIN, CLOSED], fields - 1].min(0)]
 
 
-def describe(weight: int, short: bool) -> tuple[int, str | None]:
+def describe(weight: int, bits: int) -> tuple[int, str | None]:
     """Cost and wording of a weight."""
     if not weight:
         return 0, None
-    if not short:
-        return weight, f"{weight} edits"
-    return weight >> 46, ", ".join(f"{e} x{n}" for i, e in enumerate(EDITS) if (n := weight >> 11 * i & 2047))
+    return weight >> 4 * bits, ", ".join(f"{e} x{n}" for i, e in enumerate(EDITS) if (n := weight >> bits * i & (1 << bits) - 1))
 
 
 class _Classes(dict):
@@ -155,9 +158,9 @@ class Parser:
             while k > 1 and len(new[k - 1]) > 2 * len(new[0]) + 64:
                 k //= 2
             chunk, new = new[:k], new[k:]
-            short = len(chunk[-1]) <= LONGEST
+            bits = counter_bits(len(chunk[-1]), self.fields)
             for s, w in zip(chunk, solve(chunk, self.fields)):
-                self.known[s] = describe(int(w), short)
+                self.known[s] = describe(w, bits)
         for line, delim, s in zip(lines, delims, shapes):
             if line is None or not line.strip():
                 yield None, None, None
