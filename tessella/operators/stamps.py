@@ -2,17 +2,19 @@
 
 A value is reduced to its shape: digits to 9, letters to A or a, the rest as it is. Each distinct
 shape is mapped to a parser (the places of its fields) once, and all values of a shape are converted
-together. Zones are looked up in transition tables read from the zone database, whose version is
-stated. Map-only: one pass, no shuffle.
+together. Zones are looked up in transition tables of one version of the zone database: the driver
+reads it and ships it with the plan, so that all machines convert by the same tables. Map-only: one
+pass, no shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from datetime import date
 from functools import lru_cache
 from pathlib import Path
 
@@ -25,7 +27,11 @@ FIELDS = ("millis", "micros", "nanos", "seminanos")
 OK, NULL, UNREADABLE, NO_ZONE, TWICE, NEVER, CLASH = range(7)
 STATES = ("ok", "null", "unreadable", "unknown zone", "local time occurs twice", "local time does not occur", "offset is not the zone's")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-LAST_YEAR = 2100
+#: Rules are written out up to this year; later instants fall back by whole cycles of the calendar, of
+#: 400 years each, into the written years, which is exact for any year.
+WRITTEN_YEAR = 2500
+CYCLE = 146_097 * 86_400
+END = ((WRITTEN_YEAR - 1970) * 365 + 129) * 86_400
 
 
 # zone tables
@@ -38,21 +44,24 @@ class Zone:
     def __init__(self, data: bytes):
         v2 = self._block(data, 0, 4)[1]
         (at, kinds, types, names), end = self._block(data, v2, 8)
-        trans = [(t, types[k][0], names[types[k][2]:].split(b"\0")[0].decode(), types[k][0]) for t, k in zip(at, kinds)]
+        name = lambda x: names[x[2]:].split(b"\0")[0].decode()
         self.rule = data[end:].strip(b"\n").decode()
-        trans = [(t, off, name) for t, off, name, _ in trans]
         first = next((x for x in types if not x[1]), types[0])
-        if self.rule:
-            trans += posix_transitions(self.rule, trans[-1][0] if trans else -(2**40))
-        self.at = np.array([t for t, _, _ in trans], np.int64)
-        self.offset = np.array([first[0], *[o for _, o, _ in trans]], np.int64)
+        self.at = np.array(at, np.int64)
+        self.offset = np.array([first[0], *[types[k][0] for k in kinds]], np.int64)
+        spans = [(first[0], name(first)), *[(types[k][0], name(types[k])) for k in kinds]]
+        ends = [*at, 2**62]
+        when, offsets, ruled = posix_transitions(self.rule)
+        if len(when):
+            later = when > (self.at[-1] if len(self.at) else -(2**40))
+            self.at, self.offset = np.append(self.at, when[later]), np.append(self.offset, offsets[later])
+            spans, ends = spans + ruled, ends + [2**62] * len(ruled)
         self.abbr: dict[str, set[int]] = defaultdict(set)
         self.recent: dict[str, set[int]] = defaultdict(set)
-        spans = [(-(2**62), first[0], names[first[2]:].split(b"\0")[0].decode()), *trans]
-        for (_, off, name), end_at in zip(spans, [*self.at.tolist(), 2**62]):
+        for (off, word), end_at in zip(spans, ends):
             for least, out in ((0, self.abbr), (946_684_800, self.recent)):
-                if end_at > least and name.isalpha():
-                    out[name].add(off)
+                if end_at > least and word.isalpha():
+                    out[word].add(off)
 
     @staticmethod
     def _block(data: bytes, at: int, wide: int) -> tuple:
@@ -71,7 +80,8 @@ class Zone:
         return ((when, index, types, names), end)
 
     def offset_at(self, utc: np.ndarray) -> np.ndarray:
-        return self.offset[np.searchsorted(self.at, utc, side="right")]
+        beyond = np.maximum(-((END - 1 - utc) // CYCLE), 0)
+        return self.offset[np.searchsorted(self.at, utc - beyond * CYCLE, side="right")]
 
     def to_utc(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTC seconds of local seconds, and the state: read once, twice or never."""
@@ -82,62 +92,75 @@ class Zone:
         return np.where(at_a, ua, ub), state
 
 
-def posix_transitions(rule: str, after: int) -> list[tuple[int, int, str]]:
-    """Transitions up to ``LAST_YEAR`` by a POSIX zone rule such as ``EST5EDT,M3.2.0,M11.1.0``."""
+def posix_transitions(rule: str) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """Transitions from 1970 to ``WRITTEN_YEAR`` by a POSIX zone rule such as ``EST5EDT,M3.2.0,M11.1.0``:
+    their instants in order, the offsets after them, and both offsets with their names."""
     name, num = r"(<[^>]+>|[A-Za-z]+)", r"([+-]?\d+(?::\d+){0,2})"
     m = re.fullmatch(rf"{name}{num}(?:{name}{num}?,([^,]+),([^,]+))?", rule)
     if not m or not m.group(3):
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
     def seconds(t: str) -> int:
         sign = -1 if t.startswith("-") else 1
         return sign * sum(int(x) * y for x, y in zip(t.lstrip("+-").split(":"), (3600, 60, 1)))
 
-    def when(spec: str, year: int) -> int:
+    years = np.arange(1970, WRITTEN_YEAR + 1)
+    first_of = lambda month: ((years - 1970) * 12 + month - 1).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
+
+    def when(spec: str) -> np.ndarray:
         day, _, time = spec.partition("/")
         if day[0] == "M":
             mon, week, dow = map(int, day[1:].split("."))
-            first = date(year, mon, 1).toordinal()
-            d = first + (dow - first) % 7 + 7 * (week - 1)
-            if d >= (date(year + mon // 12, mon % 12 + 1, 1)).toordinal():
-                d -= 7
+            first = first_of(mon)
+            d = first + (dow - first - 4) % 7 + 7 * (week - 1)
+            d = np.where(d >= first_of(mon + 1), d - 7, d)
         elif day[0] == "J":
             n = int(day[1:])
-            leap = date(year, 12, 31).timetuple().tm_yday == 366
-            d = date(year, 1, 1).toordinal() + n - 1 + (leap and n >= 60)
+            leap = first_of(13) - first_of(1) == 366
+            d = first_of(1) + n - 1 + (leap & (n >= 60))
         else:
-            d = date(year, 1, 1).toordinal() + int(day)
-        return (d - 719_163) * 86_400 + (seconds(time) if time else 7200)
+            d = first_of(1) + int(day)
+        return d * 86_400 + (seconds(time) if time else 7200)
 
     std = -seconds(m.group(2))
     dst = -seconds(m.group(4)) if m.group(4) else std + 3600
-    out = []
-    for year in range(1970, LAST_YEAR + 1):
-        out += [(when(m.group(5), year) - std, dst, m.group(3).strip("<>")), (when(m.group(6), year) - dst, std, m.group(1).strip("<>"))]
-    return sorted(x for x in out if x[0] > after)
+    at = np.concatenate([when(m.group(5)) - std, when(m.group(6)) - dst])
+    by = np.argsort(at, kind="stable")
+    return at[by], np.repeat([dst, std], len(years))[by], [(std, m.group(1).strip("<>")), (dst, m.group(3).strip("<>"))]
+
+
+AREAS = ("Africa", "America", "Antarctica", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific", "Etc")
 
 
 class Zones:
-    """The zone database of a folder; zones are read when first asked for."""
+    """One version of the zone database; tables are made when first asked for."""
 
-    def __init__(self, folder: str | None = None):
-        self.folder = Path(folder) if folder else default_folder()
+    def __init__(self, files: dict[str, bytes], version: str = "unknown"):
+        self.files, self.version = files, version
         self.held: dict[str, Zone | None] = {}
         self._global: dict[str, int] | None = None
 
-    @property
-    def version(self) -> str:
+    @classmethod
+    def read(cls, folder: str | None = None) -> Zones:
+        """The database of a folder (default: the system's, else the package ``tzdata``)."""
+        place = Path(folder) if folder else default_folder()
+        version = "unknown"
         for name in ("tzdata.zi", "+VERSION", "version"):
-            if (self.folder / name).exists():
-                return (self.folder / name).open().readline().strip("# \n").removeprefix("version ")
-        return "unknown"
+            if version == "unknown" and (place / name).exists():
+                version = (place / name).open().readline().strip("# \n").removeprefix("version ")
+        files = {}
+        for path in place.rglob("*"):
+            name = str(path.relative_to(place))
+            if re.fullmatch(r"[A-Za-z][A-Za-z0-9_+/-]*", name) and not name.startswith(("posix/", "right/")) and path.is_file():
+                data = path.read_bytes()
+                if data[:4] == b"TZif":
+                    files[name] = data
+        return cls(files, version)
 
     def get(self, name: str) -> Zone | None:
         if name not in self.held:
-            path = self.folder / name
-            ok = re.fullmatch(r"[A-Za-z][A-Za-z0-9_+/-]*", name) and path.is_file()
             try:
-                self.held[name] = Zone(path.read_bytes()) if ok else None
+                self.held[name] = Zone(self.files[name]) if name in self.files else None
             except (ValueError, struct.error):
                 self.held[name] = None
         return self.held[name]
@@ -149,11 +172,10 @@ class Zones:
             return next(iter(z.abbr[name]))
         if self._global is None:
             seen: dict[str, set[int]] = defaultdict(set)
-            for area in ("Africa", "America", "Antarctica", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific", "Etc"):
-                for path in (self.folder / area).rglob("*") if (self.folder / area).is_dir() else ():
-                    z = self.get(str(path.relative_to(self.folder))) if path.is_file() else None
-                    for k, v in (z.recent if z else {}).items():
-                        seen[k] |= v
+            for place in self.files:
+                z = self.get(place) if place.startswith(AREAS) else None
+                for k, v in (z.recent if z else {}).items():
+                    seen[k] |= v
             self._global = {k: next(iter(v)) for k, v in seen.items() if len(v) == 1}
         return self._global.get(name)
 
@@ -172,8 +194,15 @@ def default_folder() -> Path:
 
 
 @lru_cache(8)
-def zones(folder: str | None) -> Zones:
-    return Zones(folder)
+def packed(folder: str | None) -> bytes:
+    """The database of a folder, small enough to travel with a plan (a few hundred kilobytes)."""
+    db = Zones.read(folder)
+    return zlib.compress(pickle.dumps((db.files, db.version)))
+
+
+@lru_cache(2)
+def unpacked(data: bytes) -> Zones:
+    return Zones(*pickle.loads(zlib.decompress(data)))
 
 
 # shapes
@@ -357,19 +386,19 @@ def contradicting(sec: np.ndarray, ok: np.ndarray) -> np.ndarray:
 
 
 def normalised(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "intcol", zone: str = "zone", folder: str | None = None, rows: int = 50_000) -> DataFrame:
-    """One row per row of ``df`` and field: ``(key, field, instant, nano, state, contradicts)``.
+    """One row per row of ``df`` and field: ``(key, field, instant, nano, state, contradicts, zones)``.
 
     ``instant`` is the UTC time (microseconds; ``nano`` the nanoseconds of its second), null unless
     ``state`` is ``ok``; the other states say why a value denotes no single instant. Values without
     zone are read in the row's ``zone`` (an IANA name), abbreviations as that zone uses them, else
     as all zones do. ``contradicts`` marks an instant in another second than the one shared by most
     of the row's other instants. Null values have state ``null``; empty ones are unreadable.
-    ``folder`` names the zone database's folder; the transition tables cover years up to 2100, with
-    the last rule held beyond. Empty input gives no rows; other columns are dropped."""
-    fields = list(fields)
+    ``folder`` names the zone database's folder on the driver, ``zones`` is its version; rules hold for
+    any year. Empty input gives no rows; other columns are dropped."""
+    fields, shipped = list(fields), packed(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        db, held = zones(folder), []
+        db, held = unpacked(shipped), []
         for batch in batches:
             held.append(batch)
             if sum(x.num_rows for x in held) >= rows:
@@ -398,7 +427,7 @@ def normalised(df: DataFrame, fields: Sequence[str] = FIELDS, key: str = "intcol
 
     kind = df.schema[key].dataType.simpleString()
     picked = df.select(F.col(key).alias("k"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)], F.col(zone).alias("z"))
-    return picked.mapInArrow(run, f"k {kind}, field string, instant timestamp_ntz, nano int, state string, contradicts boolean").withColumnRenamed("k", key)
+    return picked.mapInArrow(run, f"k {kind}, field string, instant timestamp_ntz, nano int, state string, contradicts boolean").withColumn("zones", F.lit(unpacked(shipped).version)).withColumnRenamed("k", key)
 
 
 def suspicious(instants: DataFrame, key: str = "intcol") -> DataFrame:

@@ -13,8 +13,8 @@ from tessella.operators.stamps import NEVER, OK, TWICE, Zones
 
 @pytest.mark.parametrize("name", ["America/New_York", "Europe/London", "Europe/Berlin", "Australia/Sydney", "America/St_Johns", "Asia/Kolkata", "Asia/Tokyo", "America/Phoenix", "UTC", "Africa/Casablanca", "Australia/Lord_Howe", "Pacific/Apia"])
 def test_zone_tables(name):
-    z, lib, rng = Zones().get(name), ZoneInfo(name), random.Random(name)
-    near = [int(t) + rng.randint(-7200, 7200) for t in z.at if t > 0 for _ in range(3)] + [rng.randint(0, 4_000_000_000) for _ in range(300)]
+    z, lib, rng = Zones.read().get(name), ZoneInfo(name), random.Random(name)
+    near = [int(t) + rng.randint(-7200, 7200) for t in z.at if 0 < t < 4_000_000_000 for _ in range(3)] + [rng.randint(0, 4_000_000_000) for _ in range(300)]
     got = z.offset_at(np.array(near))
     assert [int(x) for x in got] == [int(datetime.fromtimestamp(t, lib).utcoffset().total_seconds()) for t in near]
     local = np.array([t for t in near if 86_400 * 3 < t < 4_000_000_000])
@@ -28,6 +28,13 @@ def test_zone_tables(name):
             assert {u} == both
 
 
+@pytest.mark.parametrize("name", ["America/New_York", "Europe/Berlin", "Australia/Sydney", "Asia/Tokyo", "America/Nuuk"])
+def test_rules_hold_for_any_year(name):
+    z, lib, rng = Zones.read().get(name), ZoneInfo(name), random.Random(name)
+    at = [rng.randint(4_000_000_000, 250_000_000_000) for _ in range(2000)]
+    assert z.offset_at(np.array(at)).tolist() == [int(datetime.fromtimestamp(t, lib).utcoffset().total_seconds()) for t in at]
+
+
 CASES = [
     ("2021-07-01 12:00:00.5", "Europe/Berlin", "2021-07-01 10:00:00.5", "ok"), ("2021.07.01T12:00:00", "Europe/Berlin", "2021-07-01 10:00:00", "ok"), ("20210701T120000.250Z", None, "2021-07-01 12:00:00.25", "ok"),
     ("01-Jul-2021 12:00:00", "UTC", "2021-07-01 12:00:00", "ok"), ("Jul 01 2021 12:00:00 AM", "UTC", "2021-07-01 00:00:00", "ok"), ("Jul 01 2021 12:00:00.1 PM", "UTC", "2021-07-01 12:00:00.1", "ok"), ("Jul 01 2021 13:00:00 PM", "UTC", None, "unreadable"),
@@ -37,6 +44,7 @@ CASES = [
     ("2021-07-01 12:00:00 Asia/Tokyo", "Europe/Berlin", "2021-07-01 03:00:00", "ok"), ("2021-11-07 01:30:00", "America/New_York", None, "local time occurs twice"), ("2021-11-07 01:30:00 EST", "America/New_York", "2021-11-07 06:30:00", "ok"), ("2021-03-14 02:30:00", "America/New_York", None, "local time does not occur"),
     ("2021-07-01 12:00:00", None, None, "unknown zone"), ("2021-07-01 12:00:00", "Mars/Base", None, "unknown zone"), ("1625140800", None, "2021-07-01 12:00:00", "ok"), ("1625140800123", None, "2021-07-01 12:00:00.123", "ok"), ("1625140800123456", None, "2021-07-01 12:00:00.123456", "ok"), ("1625140800123456789", None, "2021-07-01 12:00:00.123456", "ok"), ("9999999999999999999", None, "2286-11-20 17:46:39.999999", "ok"), ("16251408001", None, None, "unreadable"),
     ("2021-02-29 12:00:00", "UTC", None, "unreadable"), ("2021-07-01 24:00:00", "UTC", None, "unreadable"), ("2021-07-01 12:00:60", "UTC", None, "unreadable"), ("2021-07.01 12:00:00", "UTC", None, "unreadable"), ("2021-07-01X12:00:00", "UTC", None, "unreadable"), ("", "UTC", None, "unreadable"), (None, "UTC", None, "null"), ("unset", "UTC", None, "unreadable"), ("2021-07-01 12:00:00é", "UTC", None, "unreadable"), ("９９", "UTC", None, "unreadable"), ("x" * 100_000, "UTC", None, "unreadable"), ("01-Abc-2021 12:00:00", "UTC", None, "unreadable"), ("2021-07-01T12:00:00A", "UTC", None, "unreadable"),
+    ("2150-07-01 12:00:00", "Europe/Berlin", "2150-07-01 10:00:00", "ok"), ("9150.01.01T12:00:00", "Europe/Berlin", "9150-01-01 11:00:00", "ok"),
 ]
 
 
