@@ -129,12 +129,12 @@ def same_table(a: DataFrame, b: DataFrame) -> bool:
 
 def where_all(df: DataFrame, *terms) -> DataFrame:
     """Rows that meet all terms, applied one after the other. A term may be a function of an
-    aggregate builder: ``lambda agg: F.col("x") == agg(F.max("x"))`` sees the rows left so far, and
-    only the aggregate's single value reaches the driver."""
+    aggregate builder: ``lambda agg: F.col("x") == agg(F.max("x"))`` sees the rows left so far, as a
+    subquery of the same plan."""
     for t in terms:
         if callable(t) and not isinstance(t, Column):
             now = df
-            t = t(lambda e, now=now: F.lit(now.agg(e).first()[0]))
+            t = t(lambda e, now=now: now.agg(e).scalar())
         df = df.filter(t)
     return df
 

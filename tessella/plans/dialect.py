@@ -491,7 +491,7 @@ class Translator:
         return Value(F.lit(1), 1, "count")
 
     def _select(self, q: dict) -> Value:
-        """A subselect: for ``in`` a list of values, which may have any length; elsewhere one value."""
+        """A subselect: for ``in`` a list of values of any length; elsewhere one value."""
         out = self.engine.select(q)
         if len(out.columns) != 1:
             raise DialectError("a subselect in an expression has one column")
@@ -534,13 +534,9 @@ class Translator:
         return Value(F.get(v.column, key.column.cast("int")), None, v.name, aggregates=v.aggregates, bare=v.bare)
 
     def one(self, v: Value) -> Value:
-        """A subselect's single value."""
-        if isinstance(v.plain, DataFrame):
-            rows = v.plain.limit(2).collect()
-            if len(rows) != 1:
-                raise DialectError("a subselect used as a value has one row")
-            return Value(F.lit(rows[0][0]), rows[0][0], v.name)
-        return v
+        """A subselect's single value, found when the statement runs; more than one row is an error then, and
+        none gives null."""
+        return Value(v.plain.scalar(), None, v.name) if isinstance(v.plain, DataFrame) else v
 
     def _binary(self, op: str, a: tuple, b: tuple) -> Value:
         x, y = self.one(self(a)), self.one(self(b))
@@ -569,11 +565,9 @@ class Translator:
     def _in(self, a: tuple, b: tuple) -> Value:
         x, y = self(a), self(b)
         if isinstance(y.plain, DataFrame):
-            # a subselect of any length: its distinct values are gathered only if they are few
-            got = y.plain.distinct().limit(10_001).collect()
-            if len(got) > 10_000:
-                raise DialectError("more than 10000 values after in; use joins.semi_join")
-            return Value(C.in_(x.column, [r[0] for r in got]), None, x.name, aggregates=x.aggregates, bare=x.bare)
+            # a subselect of any length: a semi join, with null equal to null
+            some = y.plain.toDF("_in").alias("_some")  # the alias hides the subselect's own columns
+            return Value(some.filter(F.col("_in").eqNullSafe(x.column.outer())).exists(), None, x.name, aggregates=x.aggregates, bare=x.bare)
         items = y.many if y.many is not None else [y]
         return Value(C.in_(x.column, [i.plain for i in items]), None, x.name, aggregates=x.aggregates, bare=x.bare)
 
@@ -591,7 +585,7 @@ class Translator:
                 # an empty sum is 0, which has to stand outside the window
                 return Value(F.coalesce(F.sum(C.clean(got[0].column)).over(self.over), F.lit(0)) if low == "sum" else c.over(self.over), None, column)
             if self.scalar:
-                return Value(F.lit(self.df.agg(c).first()[0]), None, column, aggregates=[(low, c)])
+                return Value(self.df.agg(c).scalar(), None, column, aggregates=[(low, c)])
             return Value(c, None, column, aggregates=[(low, c)])
         bare, aggs = any(v.bare for v in got), [x for v in got for x in v.aggregates]
         if low in MOVING:
@@ -600,7 +594,7 @@ class Translator:
             return Value(MOVING[low](got, self.window), None, column, bare=True)
         if low == "bars":
             if got[0].relative:
-                origin = got[2].column if len(got) > 2 else F.lit(self.df.agg(F.min_by(got[1].column, F.struct(*self.order))).first()[0]) if self.order else None
+                origin = got[2].column if len(got) > 2 else self.df.agg(F.min_by(got[1].column, F.struct(*self.order))).scalar() if self.order else None
                 if origin is None:
                     raise DialectError("bars of time need the table's order, or a reference")
                 return Value(times.time_bars(got[0].relative, got[1].column, origin, first=len(got) < 3), None, column, bare=bare)

@@ -66,3 +66,11 @@ def test_changes(e):
 def test_errors(e, bad):
     with pytest.raises(DialectError):
         e.run(bad)
+
+
+def test_subselect_of_any_length(spark):
+    e = Engine(spark)
+    e.add("t", spark.range(20_000).withColumn("x", F.nullif(F.col("id") % 20_000, F.lit(7))))
+    assert e.run("select id from t where x in (select x from t where id != 3)").count() == 19_999
+    assert sorted(r.id for r in e.run("select id from t where (x in (select x from t where id > 8)) = false").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert [r.id for r in e.run("select id from t where id = (select max(id) from t)").collect()] == [19_999]
