@@ -1,105 +1,64 @@
 """Implausible readings: impossible, frozen and spiking prices.
 
 Frozen prices come from run-length detection, impossible ones from physical bounds. Spikes come
-from a Hampel filter: rolling medians of 3, 5 and 7 readings, measured against the source's median
-absolute change. Every spike of at most three readings that stands more than ``factor`` changes
-above or below both its neighbours deviates by more than half of that from one of the medians,
-itself or at a neighbour (where a majority of the window lies on the run's side, the neighbour
-deviates; otherwise the run does). The filter's hits, widened by three readings, therefore hold
-all spikes, and the exact rule is applied to them only.
-
-All passes run over one range-partitioned, sorted and stored copy of the prices, so that a source
-of any share is spread over many tasks. What a pass needs beyond a partition's ends are the ten
-nearest values a price has there: they are collected, a bounded number per partition.
+from a Hampel filter: each value's distance from the rolling medians of 3, 5 and 7 readings, held
+against the window's median absolute deviation, and against the source's own scale, its median
+absolute change. The deviation suits a window's noise; the source's scale makes the filter complete:
+every spike of at most three readings that stands more than ``factor`` changes above or below both
+its neighbours is further than half of that from one of the medians, itself or at a neighbour (where
+a majority of the window lies on the run's side, the neighbour is; otherwise the run). The
+filter's hits, widened by three readings, therefore hold all spikes, and the exact rule is applied
+to them only.
+
+Readings are packed in ordered chunks once (``operators.packed``). A source within one chunk is
+finished there. One that goes on in other chunks gets, as columns of its chunk's row, the nearest
+values around the chunk and its scale, made by windows over a bounded number of values per chunk.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.operators.ordered import codes, floats, map_partition, range_ordered, starts
-from tessella.operators.readings import denan, valid_readings, wall_us
-from tessella.session import range_parts
+from tessella.operators.ordered import starts
+from tessella.operators.packed import Chunk, joined, map_chunks, packed, parts
+from tessella.session import durable
 
 PRICES = ("open", "high", "low", "close")
-KEEP = 10
-
-
-class Part:
-    """One ordered partition: deduplicated rows, and per price the values that count."""
-
-    def __init__(self, t: pa.Table, halo: dict | None):
-        k, names = codes(t["k"])
-        us = t["t_us"].to_numpy()
-        keep = starts(k, us)
-        self.left, self.right = (halo or {}).get("left"), (halo or {}).get("right")
-        if self.left and len(k) and names[k[0]] == self.left["k"]:
-            keep &= ~((k == k[0]) & (us == self.left["us"]))
-        else:
-            self.left = None
-        self.k, self.us, self.names = k[keep], us[keep], names
-        self.price = {p: floats(t[p])[keep] for p in PRICES}
-        o, h, lo, c = (self.price[p] for p in PRICES)
-        with np.errstate(invalid="ignore"):
-            self.impossible = (h < lo) | (o < lo) | (o > h) | (c < lo) | (c > h)
-            for x in self.price.values():
-                self.impossible |= x <= 0
-
-    def values(self, p: str, real: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice]:
-        """Row numbers, source codes and values of price ``p`` that are not null (and, if ``real``,
-        not in an impossible reading), with the halo's values around; the slice is the partition's own."""
-        x = self.price[p]
-        rows = np.flatnonzero(~np.isnan(x) & ~(self.impossible & real))
-        kind = f"{p}{int(real)}"
-        before = [v for _, v in self.left[kind]] if self.left and len(self.k) else []
-        after = [v for _, v in self.right[kind]] if self.right and len(self.k) and self.names[self.k[-1]] == self.right["k"] else []
-        v = np.concatenate([before, x[rows], after])
-        ends = self.k[[0, -1]] if len(self.k) else (0, 0)
-        s = np.concatenate([np.full(len(before), ends[0]), self.k[rows], np.full(len(after), ends[1])]).astype(np.int64)
-        return rows, s, v, slice(len(before), len(before) + len(rows))
-
-
-def edges(t: pa.Table) -> pa.Table:
-    part = Part(t, None)
-    out = {"first": part.names[part.k[0]], "last": part.names[part.k[-1]], "last_us": int(part.us[-1]), "head": {}, "tail": {}}
-    for real in (False, True):
-        for p in PRICES:
-            rows = part.values(p, real)[0]
-            for side, key, mine in (("head", part.k[0], rows[:KEEP]), ("tail", part.k[-1], rows[-KEEP:])):
-                out[side][f"{p}{int(real)}"] = [(int(part.us[r]), float(part.price[p][r])) for r in mine if part.k[r] == key]
-    return pa.table({"pid": pa.array([t["pid"][0].as_py()], pa.int32()), "blob": pa.array([pickle.dumps(out)], pa.binary())})
-
-
-def halos(found: dict[int, dict]) -> dict[int, dict]:
-    """From the partitions' edges, the values that precede and follow each partition."""
-    out: dict[int, dict] = {pid: {} for pid in found}
-    state: dict | None = None
-    for pid in sorted(found):
-        e = found[pid]
-        mine = state if state and state["k"] == e["first"] else None
-        out[pid]["left"] = mine
-        state = {"k": e["last"], "us": e["last_us"]}
-        for kind, tail in e["tail"].items():
-            new = [x for x in tail if not (mine and e["first"] == e["last"] and x[0] == mine["us"])]
-            state[kind] = ((mine[kind] if mine and e["first"] == e["last"] else []) + new)[-KEEP:]
-    state = None
-    for pid in sorted(found, reverse=True):
-        e = found[pid]
-        mine = None
-        if state and state["k"] == e["last"]:
-            mine = {"k": e["last"]} | {kind: [x for x in state[kind] if x[0] != e["last_us"]] for kind in e["head"]}
-        out[pid]["right"] = mine
-        through = mine if mine and e["first"] == e["last"] else {}
-        state = {"k": e["first"]} | {kind: (head + through.get(kind, []))[:KEEP] for kind, head in e["head"].items()}
-    return out
+#: Kinds of series: each price, of all readings (0 to 3) and of the possible ones only (4 to 7).
+KINDS = [(p, real) for real in (False, True) for p in range(4)]
+EDGE = pa.struct([("kind", pa.int32()), ("us", pa.int64()), ("v", pa.float64()), ("head", pa.bool_())])
+COUNT = pa.struct([("p", pa.int32()), ("b", pa.int64()), ("n", pa.int64())])
+#: Leading bits of a change by which it is counted first, then within the bucket that holds the middle.
+LEVELS = (45, 21, 0)
+
+
+def impossible(c: Chunk) -> np.ndarray:
+    o, h, lo, cl = c.values
+    with np.errstate(invalid="ignore"):
+        bad = (h < lo) | (o < lo) | (o > h) | (cl < lo) | (cl > h)
+        for x in c.values:
+            bad = bad | (x <= 0)
+    return bad
+
+
+def series(c: Chunk, bad: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, slice]:
+    """Row numbers, source codes and values of a series, passing over nulls, with the values around the chunk
+    if its row has them; the slice is the chunk's own."""
+    p, real = KINDS[kind]
+    x = c.values[p]
+    rows = np.flatnonzero(~np.isnan(x) & ~(bad & real))
+    before, after = [], []
+    for h in c.row.get("halo") or []:
+        if h["kind"] == kind:
+            before, after = (h["vs"], after) if h["left"] else (before, h["vs"])
+    s = np.concatenate([np.zeros(len(before), np.int64), c.s[rows], np.zeros(len(after), np.int64)])
+    return rows, s, np.concatenate([before, x[rows], after]), slice(len(before), len(before) + len(rows))
 
 
 def bits(x: np.ndarray) -> np.ndarray:
@@ -107,77 +66,105 @@ def bits(x: np.ndarray) -> np.ndarray:
     return (x + 0.0).view(np.int64)
 
 
-def changes(part: Part, p: str) -> tuple[np.ndarray, np.ndarray]:
-    """Source codes and absolute changes of price ``p`` from one counted reading to the next."""
-    _, s, v, own = part.values(p, True)
-    at = np.arange(max(own.start, 1), own.stop)
-    at = at[s[at] == s[at - 1]]
-    return s[at], np.abs(v[at] - v[at - 1])
-
-
-class Changes:
-    """Exact medians of the absolute changes, per source and price, by radix selection: counts by
-    leading bits of the double, then only values within the bucket that holds the wanted rank."""
-
-    LEVELS = (49, 37, 25, 13, 0)
-
-    def __init__(self, stored: DataFrame, around: dict[int, dict], most: int = 200_000):
-        self.stored, self.around, self.most = stored, around, most
-
-    def count(self, stored: DataFrame, shift: int, wanted: dict | None = None, above: int = 0) -> DataFrame:
-        """``(k, p, b, n)``: counts by ``bits >> shift``; only of ``bits >> above`` in ``wanted``, if given."""
-        around = self.around
-
-        def run(t: pa.Table) -> pa.Table | None:
-            part, out = Part(t, around.get(t["pid"][0].as_py())), []
-            for i, p in enumerate(PRICES):
-                s, d = changes(part, p)
-                b = bits(d)
-                if wanted is not None:
-                    hit = pair_in(s, b >> above, [(c, x) for c, name in enumerate(part.names) for x in wanted.get((name, i), ())])
-                    s, b = s[hit], b[hit]
-                if len(b):
-                    b = b >> shift
-                    by = np.lexsort((b, s))
-                    s, b = s[by], b[by]
-                    at = np.flatnonzero(starts(s, b))
-                    out.append(pa.table({"k": pa.array([part.names[x] for x in s[at]], pa.string()), "p": pa.array(np.full(len(at), i, np.int32)), "b": b[at], "n": np.diff(np.append(at, len(b)))}))
-            return pa.concat_tables(out) if out else None
-
-        return map_partition(stored, run, "k string, p int, b bigint, n bigint").groupBy("k", "p", "b").agg(F.sum("n").alias("n"))
-
-    def ranked(self, counts: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
-        """Rows of ``counts`` that hold a wanted rank, as ``(k, p, r, b, n, rest)``: ``rest`` is the rank within."""
-        if ranks is None:
-            w = W.partitionBy("k", "p")
-            both = counts.withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("b")) - F.col("n"))
-            middle = F.array(F.struct(F.lit(0).alias("r"), F.expr("(total - 1) div 2").alias("at")), F.struct(F.lit(1).alias("r"), F.expr("total div 2").alias("at")))
-            x = both.withColumn("x", F.explode(middle)).select("k", "p", "b", "n", "before", "x.r", "x.at")
-        else:
-            w = W.partitionBy("k", "p", "up").orderBy("b")
-            x = counts.withColumn("before", F.sum("n").over(w) - F.col("n")).join(ranks, ["k", "p", "up"])
-        return x.filter("before <= at and at < before + n").select("k", "p", "r", "b", "n", (F.col("at") - F.col("before")).alias("rest"))
-
-    def medians(self) -> DataFrame:
-        """``(k, p, m)``: the mean of the two middle changes."""
-        level, found = 0, self.ranked(self.count(self.stored, self.LEVELS[0])).persist()
-        while self.LEVELS[level]:
-            large = (found.agg(F.max("n")).first()[0] or 0) > self.most
-            above, level = self.LEVELS[level], level + 1 if large else len(self.LEVELS) - 1
-            found = self.refine(found, above, self.LEVELS[level]).persist()
-        return found.mapInArrow(_as_doubles, "k string, p int, v double").groupBy("k", "p").agg(F.avg("v").alias("m"))
-
-    def refine(self, found: DataFrame, above: int, shift: int) -> DataFrame:
-        """The next level, within the buckets found."""
-        counts = None
-        for some, piece in slices(found.select("k", "p", "b").distinct(), "k"):
-            wanted: dict[tuple, list[int]] = {}
-            for k, p, b in piece.itertuples(index=False):
-                wanted.setdefault((k, int(p)), []).append(int(b))
-            part = self.count(self.stored.filter(some), shift, wanted, above)
-            counts = part if counts is None else counts.unionByName(part)
-        ranks = found.select("k", "p", F.col("b").alias("up"), "r", F.col("rest").alias("at"))
-        return self.ranked(counts.withColumn("up", F.shiftright("b", above - shift)), ranks)
+def inner_changes(c: Chunk, bad: np.ndarray, p: int) -> np.ndarray:
+    """Absolute changes of a price within an edge chunk, without those at its first reading, which may be a copy."""
+    rows, _, v, _ = series(c, bad, 4 + p)
+    return np.abs(np.diff(v[1:] if len(rows) and rows[0] == 0 and not c.row.get("skip") else v))
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_counts=True)
+
+
+def edges(keep: int):
+    """For an edge chunk: each series' first and last ``keep`` values, and counts of the changes by leading bits."""
+
+    def run(c: Chunk) -> tuple[dict, dict]:
+        bad, at, counts = impossible(c), [], []
+        for kind in range(8):
+            rows, _, v, _ = series(c, bad, kind)
+            n = len(rows)
+            i = np.arange(n) if n <= 2 * keep else np.append(np.arange(keep), np.arange(n - keep, n))
+            zero = n > 0 and rows[0] == 0
+            at.append((np.full(len(i), kind), c.us[rows[i]], v[i], i <= int(zero)))
+        for p in range(4):
+            b, n = counted(bits(inner_changes(c, bad, p)) >> LEVELS[0])
+            counts.append((np.full(len(b), p), b, n))
+        cat = lambda xs, names: {f: np.concatenate([x[j] for x in xs]) for j, f in enumerate(names)}
+        return cat(at, ("kind", "us", "v", "head")), cat(counts, ("p", "b", "n"))
+
+    return run
+
+
+def around(ends: DataFrame, keep: int) -> DataFrame:
+    """The series near the chunks' ends in order, each value with up to ``keep`` values before and after."""
+    e = ends.select("k", "pid", "prev_us", F.explode("x0").alias("e")).select("k", "pid", "prev_us", "e.*")
+    e = e.filter(~F.col("us").eqNullSafe(F.col("prev_us"))).drop("prev_us")
+    w = W.partitionBy("k", "kind").orderBy("us")
+    return e.withColumns({
+        "before": F.lag("v").over(w), "first": ~F.col("pid").eqNullSafe(F.lag("pid").over(w)), "last": ~F.col("pid").eqNullSafe(F.lead("pid").over(w)),
+        "lefts": F.collect_list("v").over(w.rowsBetween(-keep, -1)), "rights": F.collect_list("v").over(w.rowsBetween(1, keep))})
+
+
+def halos(near: DataFrame) -> DataFrame:
+    """``(k, pid, halo)``: for each series the values before and after the chunk."""
+    sides = F.array(F.when(F.col("first"), F.struct("kind", F.lit(True).alias("left"), F.col("lefts").alias("vs"))), F.when(F.col("last"), F.struct("kind", F.lit(False).alias("left"), F.col("rights").alias("vs"))))
+    x = near.filter("first or last").select("k", "pid", F.explode(sides).alias("h")).filter("h is not null and size(h.vs) > 0")
+    return x.groupBy("k", "pid").agg(F.collect_list("h").alias("halo"))
+
+
+def ranked(counts: DataFrame, ranks: DataFrame | None) -> DataFrame:
+    """Rows of ``counts`` that hold a wanted rank, as ``(k, p, r, b, n, rest)``: ``rest`` is the rank within."""
+    if ranks is None:
+        w = W.partitionBy("k", "p")
+        both = counts.withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("b")) - F.col("n"))
+        middle = F.array(F.struct(F.lit(0).alias("r"), F.expr("(total - 1) div 2").alias("at")), F.struct(F.lit(1).alias("r"), F.expr("total div 2").alias("at")))
+        x = both.withColumn("x", F.explode(middle)).select("k", "p", "b", "n", "before", "x.r", "x.at")
+    else:
+        w = W.partitionBy("k", "p", "up").orderBy("b")
+        x = counts.withColumn("before", F.sum("n").over(w) - F.col("n")).join(ranks, ["k", "p", "up"])
+    return x.filter("before <= at and at < before + n").select("k", "p", "r", "b", "n", (F.col("at") - F.col("before")).alias("rest"))
+
+
+def within(c: Chunk, above: int, shift: int) -> pa.Table | None:
+    """An edge chunk's changes in the wanted buckets, counted by finer bits."""
+    bad, out = impossible(c), []
+    for p in range(4):
+        want = np.array(sorted({w["b"] for w in c.row["wanted"] if w["p"] == p}), np.int64)
+        b = bits(inner_changes(c, bad, p))
+        b, n = counted(b[np.isin(b >> above, want)] >> shift)
+        out.append(pa.table({"k": pa.array([c.row["k"]] * len(b), pa.string()), "p": pa.array(np.full(len(b), p), pa.int32()), "b": b, "n": n.astype(np.int64)}))
+    return pa.concat_tables(out)
+
+
+def scales(chunks: DataFrame, ends: DataFrame, near: DataFrame, most: int) -> DataFrame:
+    """``(k, scale)``: the exact median changes (an array by price) of sources that may lie in several chunks, by
+    radix selection: counts by leading bits, then by finer ones within the bucket that holds the middle,
+    until few enough changes are left to count by value."""
+    heads = near.filter("head and kind >= 4 and before is not null").select("k", (F.col("kind") - 4).alias("p"), F.abs(F.col("v") - F.col("before")).alias("d"))
+    heads = durable(heads.mapInArrow(_as_bits, "k string, p int, b bigint"))
+    total = lambda c: c.groupBy("k", "p", "b").agg(F.sum("n").alias("n"))
+    head_counts = lambda h, shift: h.select("k", "p", F.shiftright("b", shift).alias("b"), F.lit(1).cast("bigint").alias("n"))
+    counts = ends.select("k", F.explode("x1").alias("c")).select("k", "c.*").unionByName(head_counts(heads, LEVELS[0]))
+    found, above = durable(ranked(total(counts), None)), LEVELS[0]
+    while above:
+        large = (found.agg(F.max("n")).first()[0] or 0) > most
+        shift = next(x for x in LEVELS if x < above) if large else 0
+        buckets = found.select("k", "p", "b").distinct()
+        wanted = ends.select("k", "pid").join(buckets.groupBy("k").agg(F.collect_list(F.struct("p", "b")).alias("wanted")), "k")
+        mine = joined(chunks.filter("edge").drop("x0", "x1"), durable(ends.select("k", "pid", "skip").join(wanted, ["k", "pid"]))).filter("wanted is not null")
+        inside = map_chunks(mine, lambda c, a=above, s=shift: within(c, a, s), "k string, p int, b bigint, n bigint", [False] * 4)
+        near_heads = heads.join(buckets.select("k", "p", F.col("b").alias("up")), ["k", "p"]).filter(F.shiftright("b", above) == F.col("up"))
+        counts = total(inside.unionByName(head_counts(near_heads, shift))).withColumn("up", F.shiftright("b", above - shift))
+        found = durable(ranked(counts, found.select("k", "p", F.col("b").alias("up"), "r", F.col("rest").alias("at"))))
+        above = shift
+    medians = found.mapInArrow(_as_doubles, "k string, p int, v double").groupBy("k", "p").agg(F.avg("v").alias("m"))
+    return medians.groupBy("k").agg(F.collect_list(F.struct("p", "m")).alias("scale"))
+
+
+def _as_bits(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("p"), pa.array(bits(b.column("d").to_numpy(zero_copy_only=False)))], ["k", "p", "b"])
 
 
 def _as_doubles(batches):
@@ -185,29 +172,22 @@ def _as_doubles(batches):
         yield pa.RecordBatch.from_arrays([b.column("k"), b.column("p"), pa.array(b.column("b").to_numpy().view(np.float64))], ["k", "p", "v"])
 
 
-def pair_in(s: np.ndarray, x: np.ndarray, wanted: list[tuple[int, int]]) -> np.ndarray:
-    """Where the pair ``(s, x)`` is one of ``wanted``."""
-    if not wanted or not len(s):
-        return np.zeros(len(s), bool)
-    c, y = np.array(wanted, np.int64).T
-    distinct = np.unique(y)
-    at = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
-    return (distinct[at] == x) & np.isin(s * len(distinct) + at, c * len(distinct) + np.searchsorted(distinct, y))
-
-
-def slices(df: DataFrame, by: str, most: int = 2_000_000):
-    """``df`` as pandas frames of about ``most`` rows at most, each with the condition on ``by`` that
-    its rows meet: what goes to the driver and to the tasks at once stays bounded, however many
-    sources there are."""
-    first = df.limit(most + 1).toPandas()
-    if len(first) <= most:
-        yield F.lit(True), first
-        return
-    del first
-    cuts = -(-df.count() // most)
-    for i in range(cuts):
-        some = F.pmod(F.xxhash64(by), F.lit(cuts)) == i
-        yield some, df.filter(some).toPandas()
+def own_scale(c: Chunk, p: int, s: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Median absolute change of a price for each source of a chunk; NaN without changes."""
+    out = np.full(len(c.names), np.nan)
+    if c.row["edge"]:
+        for x in c.row.get("scale") or []:
+            if x["p"] == p:
+                out[0] = x["m"]
+        return out
+    same = s[1:] == s[:-1]
+    k, d = s[1:][same], np.abs(np.diff(v))[same]
+    by = np.lexsort((d, k))
+    k, d = k[by], d[by]
+    at = np.flatnonzero(starts(k))
+    n = np.diff(np.append(at, len(k)))
+    out[k[at]] = (d[at + (n - 1) // 2] + d[at + n // 2]) / 2
+    return out
 
 
 def runs(s: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -217,28 +197,46 @@ def runs(s: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.diff(np.append(at, len(v)))[np.cumsum(new) - 1] if len(v) else np.zeros(0, int)
 
 
-def hampel(s: np.ndarray, v: np.ndarray, scale: np.ndarray, half: Sequence[int] = (1, 2, 3)) -> np.ndarray:
-    """Largest deviation of each value from its rolling medians, in units of ``scale`` (the
-    infinity where ``scale`` is 0 and the value deviates, or where no window fits the source)."""
-    out = np.zeros(len(v))
+def middle(columns: list[np.ndarray]) -> np.ndarray:
+    """Median across an odd number of equal-length arrays, by exchanging neighbours in place."""
+    a, n = [x.copy() for x in columns], len(columns)
+    for i in range(n):
+        for j in range(i % 2, n - 1, 2):
+            low = np.minimum(a[j], a[j + 1])
+            np.maximum(a[j], a[j + 1], out=a[j + 1])
+            a[j] = low
+    return a[n // 2]
+
+
+def hampel(s: np.ndarray, v: np.ndarray, scale: np.ndarray, half: Sequence[int] = (1, 2, 3)) -> tuple[np.ndarray, np.ndarray]:
+    """``(changes, deviations)`` of each value: its largest distance from its rolling medians in units of
+    ``scale``, infinite where that is 0 or where no window fits the source; and its distance from the
+    median of the widest window in units of that window's median absolute deviation, which counts as
+    ``scale`` at least (NaN where no window fits, or the unit is 0)."""
+    out, dev = np.zeros(len(v)), np.full(len(v), np.nan)
     for h in half:
         full = np.zeros(len(v), bool)
         if len(v) > 2 * h:
             mid = slice(h, len(v) - h)
             full[mid] = s[2 * h:] == s[:-2 * h]
-            med = np.median(np.lib.stride_tricks.sliding_window_view(v, 2 * h + 1), axis=1)
+            window = [v[i:len(v) - 2 * h + i] for i in range(2 * h + 1)]
+            med = middle(window)
+            away = np.abs(v[mid] - med)
             with np.errstate(divide="ignore", invalid="ignore"):
-                d = np.abs(v[mid] - med) / scale[mid]
-            out[mid] = np.fmax(out[mid], np.nan_to_num(d, nan=0.0, posinf=np.inf))
+                out[mid] = np.fmax(out[mid], np.nan_to_num(away / scale[mid], nan=0.0, posinf=np.inf))
+                if h == max(half):
+                    unit = np.fmax(middle([np.abs(x - med) for x in window]), scale[mid])
+                    dev[mid] = np.where(full[mid] & (unit > 0), away / unit, np.nan)
         out[~full] = np.inf
-    return out
+    return out, dev
 
 
-def spikes(s: np.ndarray, v: np.ndarray, scale: np.ndarray, factor: float, most: int = 3) -> np.ndarray:
+def spikes(s: np.ndarray, v: np.ndarray, scale: np.ndarray, factor: float, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Values of runs of at most ``most`` readings that stand above, or below, both neighbours of
-    the run by more than ``factor * scale``; applied to the filter's hits."""
+    the run by more than ``factor * scale``, looked for at the filter's hits; and their deviations."""
     n, out = len(v), np.zeros(len(v), bool)
-    hit = hampel(s, v, scale) > factor / 2
+    changes, dev = hampel(s, v, scale)
+    hit = (changes > factor / 2) | (dev > factor)
     wide = hit.copy()
     for d in range(1, most + 1):
         wide[d:] |= hit[:-d]
@@ -252,52 +250,45 @@ def spikes(s: np.ndarray, v: np.ndarray, scale: np.ndarray, factor: float, most:
         ok = (run.min(0) - np.maximum(a, b) > gap) | (np.minimum(a, b) - run.max(0) > gap)
         for i in range(r):
             out[at[ok] + i] = True
-    return out
+    return out, dev
 
 
-FLAGS = "k string, t_us bigint, impossible boolean, frozen int, spike int"
+FLAGS = "k string, t_us bigint, impossible boolean, frozen int, spike int, deviation double"
 
 
-def flagged_readings(df: DataFrame, factor: float = 10.0, least_run: int = 8, key: str = "enumstring", stamp: str = "datetime", order: str = "rowid") -> DataFrame:
-    """Readings that are impossible, frozen or a spike: ``(key, stamp_us, impossible, frozen, spike)``;
-    the last two have a bit for each of open, high, low, close.
+def flagged_readings(df: DataFrame, factor: float = 10.0, least_run: int = 8, key: str = "enumstring", stamp: str = "datetime", order: str = "rowid", most: int = 1_000_000) -> DataFrame:
+    """Readings that are impossible, frozen or a spike:
+    ``(key, stamp_us, impossible, frozen, spike, deviation)``; ``frozen`` and ``spike`` have a bit for each of
+    open, high, low, close. ``deviation`` is the largest of the prices' distances from the median of the
+    seven readings around, in units of those readings' median absolute deviation or the source's median
+    change, if that is more; null for impossible readings and where there are no seven.
 
     Readings of equal source and stamp are one (the smallest ``order`` counts). Null and NaN prices
     are passed over. A source with fewer than two counted values of a price has no spikes of it.
     Where the median change is 0, any value beyond both neighbours is a spike. Empty input gives no
-    rows. ``least_run`` may be 10 at most. Medians are found when this is called; the sorted copy of the
-    prices stays on the executors' disks until ``spark.catalog.clearCache()``."""
-    if least_run > KEEP:
-        raise ValueError(f"least_run is at most {KEEP}")
-    rows = valid_readings(df, key, stamp).select(F.col(key).alias("k"), wall_us(F.col(stamp)).alias("t_us"), F.coalesce(F.col(order), F.lit(2**63 - 1)).alias("o"), *[denan(df, p).cast("double").alias(p) for p in PRICES])
-    stored = range_ordered(rows, ["k", "t_us", "o"], range_parts(df, 500_000)).drop("o").withColumn("pid", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    found = {r.pid: pickle.loads(r.blob) for r in map_partition(stored, edges, "pid int, blob binary").collect()}
-    around = halos(found)
-    out = None
-    for some, piece in slices(Changes(stored, around).medians(), "k"):
-        scales: dict[str, dict[int, float]] = {}
-        for k, p, m in piece.itertuples(index=False):
-            scales.setdefault(k, {})[int(p)] = float(m)
-        part = flag_pass(stored.filter(some), around, scales, factor, least_run)
-        out = part if out is None else out.unionByName(part)
-    return out.select(F.col("k").alias(key), F.col("t_us").alias("stamp_us"), "impossible", "frozen", "spike")
-
-
-def flag_pass(stored: DataFrame, around: dict, scales: dict, factor: float, least_run: int) -> DataFrame:
-    """The flagged readings; ``scales`` has the median changes by source and price."""
-
-    def run(t: pa.Table) -> pa.Table | None:
-        part = Part(t, around.get(t["pid"][0].as_py()))
-        frozen, spike = np.zeros(len(part.k), np.int32), np.zeros(len(part.k), np.int32)
-        for i, p in enumerate(PRICES):
-            rows, s, v, own = part.values(p, False)
-            frozen[rows[runs(s, v)[own] >= least_run]] |= 1 << i
-            rows, s, v, own = part.values(p, True)
-            m = np.array([scales.get(name, {}).get(i, np.nan) for name in part.names])
-            spike[rows[spikes(s, v, m[s], factor)[own]]] |= 1 << i
-        hit = np.flatnonzero(part.impossible | (frozen > 0) | (spike > 0))
-        if not len(hit):
-            return None
-        return pa.table({"k": pa.array([part.names[x] for x in part.k[hit]], pa.string()), "t_us": part.us[hit], "impossible": part.impossible[hit], "frozen": frozen[hit], "spike": spike[hit]})
-
-    return map_partition(stored, run, FLAGS)
+    rows. ``most`` is the number of equal-looking changes of one source that are told apart in one
+    step. Jobs run when this is called: the chunks are stored, and read three times."""
+    keep = max(least_run, 8) + 2
+    chunks = packed(df, PRICES, extra=edges(keep), kinds=(EDGE, COUNT), key=key, stamp=stamp, order=order)
+    ends = parts(chunks, "x0", "x1")
+    near = durable(around(ends, keep))
+    beside = ends.select("k", "pid", "skip").join(halos(near), ["k", "pid"], "left").join(scales(chunks, ends, near, most), "k", "left")
+    out = map_chunks(joined(chunks.drop("x0", "x1"), durable(beside)), lambda c: flags(c, factor, least_run), FLAGS, [False] * 4)
+    return out.select(F.col("k").cast(df.schema[key].dataType).alias(key), F.col("t_us").alias("stamp_us"), "impossible", "frozen", "spike", "deviation")
+
+
+def flags(c: Chunk, factor: float, least_run: int) -> pa.Table | None:
+    bad, n = impossible(c), len(c.us)
+    frozen, spike, deviation = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, np.nan)
+    for p in range(4):
+        rows, s, v, own = series(c, bad, p)
+        frozen[rows[runs(s, v)[own] >= least_run]] |= 1 << p
+        rows, s, v, own = series(c, bad, 4 + p)
+        hit, dev = spikes(s, v, own_scale(c, p, s, v)[s], factor)
+        spike[rows[hit[own]]] |= 1 << p
+        deviation[rows] = np.fmax(deviation[rows], dev[own])
+    hit = np.flatnonzero(bad | (frozen > 0) | (spike > 0))
+    if not len(hit):
+        return None
+    d = deviation[hit]
+    return pa.table({"k": pa.array([c.names[x] for x in c.s[hit]], pa.string()), "t_us": c.us[hit], "impossible": bad[hit], "frozen": frozen[hit], "spike": spike[hit], "deviation": pa.array(d, mask=np.isnan(d))})

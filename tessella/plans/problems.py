@@ -66,7 +66,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_flags(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.flagged_readings(table(spark, d, SERIES))
+    return spikes.flagged_readings(table(spark, d, SERIES)).withColumn("deviation", F.round("deviation", 6))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_rejected, p1_loaded_stamps, p1_rejected_stamps, p2_found, p2_totals, p3_found, p3_instants, p5_found, p5_series, p6_found, p6_flags)}
@@ -122,8 +122,10 @@ st AS (SELECT enumstring, b, i, 1 AS r FROM y WHERE v1 - greatest(p, v2) > 10 *
        UNION ALL SELECT enumstring, b, i, 3 FROM y WHERE p IS NOT NULL AND v4 IS NOT NULL AND (least(v1, v2, v3) - greatest(p, v4) > 10 * m OR least(p, v4) - greatest(v1, v2, v3) > 10 * m)),
 sp AS (SELECT DISTINCT k.enumstring, k.us, k.b FROM (SELECT enumstring, b, unnest(range(i, i + r)) AS i FROM st) s JOIN k USING (enumstring, b, i)),
 fl AS (SELECT enumstring, us, CAST(sum(f) AS INT) AS frozen, CAST(sum(s) AS INT) AS spike FROM (SELECT enumstring, us, b AS f, 0 AS s FROM fr UNION ALL SELECT enumstring, us, 0, b FROM sp) GROUP BY 1, 2),
-flags AS (SELECT x.enumstring, x.us AS stamp_us, impossible, coalesce(frozen, 0) AS frozen, coalesce(spike, 0) AS spike
-          FROM x LEFT JOIN fl ON x.enumstring = fl.enumstring AND x.us = fl.us WHERE impossible OR frozen > 0 OR spike > 0)
+hd AS (SELECT enumstring, us, b, v, count(*) OVER w AS n, median(v) OVER w AS med, mad(v) OVER w AS mad FROM k WINDOW w AS (PARTITION BY enumstring, b ORDER BY us ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+dv AS (SELECT enumstring, us, max(abs(v - med) / greatest(mad, m)) AS deviation FROM hd JOIN md USING (enumstring, b) WHERE n = 7 AND greatest(mad, m) > 0 GROUP BY 1, 2),
+flags AS (SELECT x.enumstring, x.us AS stamp_us, impossible, coalesce(frozen, 0) AS frozen, coalesce(spike, 0) AS spike, round(deviation, 6) AS deviation
+          FROM x LEFT JOIN dv ON x.enumstring = dv.enumstring AND x.us = dv.us LEFT JOIN fl ON x.enumstring = fl.enumstring AND x.us = fl.us WHERE impossible OR frozen > 0 OR spike > 0)
 """
 
 FIELD = r'''("(?:[^"\\]|""|\\.)*"|[^DELIM"\n]*)'''

@@ -73,10 +73,14 @@ def test_totals_beyond_bigint(spark):
         rolling.trailing_totals(df, periods=())
 
 
-@pytest.mark.parametrize("hold", [HOUR_US, HOUR_US // 3, 5 * HOUR_US + 7])
-def test_regular_series(spark, hold):
+@pytest.mark.parametrize("hold,ranges", [(HOUR_US, "4"), (HOUR_US // 3, "40"), (5 * HOUR_US + 7, "90"), (HOUR_US, "150")])
+def test_regular_series(spark, hold, ranges):
     df, data = make(spark, 400)
-    got = {(r.enumstring, r.cell): r for r in grid.regular_series(df, hold_us=hold).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    made = grid.regular_series(df, hold_us=hold)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = {(r.enumstring, r.cell): r for r in made.collect()}
+    assert len(got) == made.count()
     n = 0
     for src, rs in readings(data).items():
         values = [(r[0], r[2]) for r in rs if r[2] is not None]
@@ -109,6 +113,9 @@ def test_empty_runs(spark):
         want += [(src, a + 1, b - 1) for a, b in zip(cells, cells[1:]) if b > a + 1]
     assert rows(grid.empty_runs(grid.occupied_cells(df))) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
     assert grid.empty_runs(grid.occupied_cells(df.limit(0))).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    assert rows(grid.empty_runs(grid.occupied_cells(df))) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def flags(data, factor=10, least=8):
@@ -148,12 +155,11 @@ def flags(data, factor=10, least=8):
     return out
 
 
-@pytest.mark.parametrize("seed,factor,least", [(1, 10, 8), (2, 0.5, 2), (3, 2, 3), (4, 1, 10)])
+@pytest.mark.parametrize("seed,factor,least", [(1, 10, 8), (2, 0.5, 2), (3, 2, 3), (4, 1, 12)])
 def test_flagged_readings(spark, seed, factor, least):
     df, data = make(spark, 900, seed)
     got = {(r.enumstring, r.stamp_us): (r.impossible, r.frozen, r.spike) for r in spikes.flagged_readings(df, factor, least).collect()}
     assert got == flags(data, factor, least) and len(got) > 50
-    spark.catalog.clearCache()
 
 
 def test_flags_of_smooth_prices_and_edges(spark):
@@ -175,28 +181,39 @@ def test_flags_of_smooth_prices_and_edges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {(r.enumstring, r.stamp_us): (r.impossible, r.frozen, r.spike) for r in spikes.flagged_readings(df).collect()}
         assert got == want and any(x[2] for x in want.values()) and any(x[1] for x in want.values())
-        spark.catalog.clearCache()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert spikes.flagged_readings(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        spikes.flagged_readings(df, least_run=11)
+    got = {(r.enumstring, r.stamp_us): (r.impossible, r.frozen, r.spike) for r in spikes.flagged_readings(df, least_run=14).collect()}
+    assert got == flags(data, least=14)
 
 
 def test_medians_by_several_levels(spark):
     """Radix selection with a tiny bound runs through all its levels."""
     df, data = make(spark, 600, 7)
     spark.conf.set("spark.sql.shuffle.partitions", "5")
-    old = spikes.Changes.__init__.__defaults__
-    spikes.Changes.__init__.__defaults__ = (1,)
     try:
-        got = {(r.enumstring, r.stamp_us): (r.impossible, r.frozen, r.spike) for r in spikes.flagged_readings(df).collect()}
+        got = {(r.enumstring, r.stamp_us): (r.impossible, r.frozen, r.spike) for r in spikes.flagged_readings(df, most=1).collect()}
     finally:
-        spikes.Changes.__init__.__defaults__ = old
         spark.conf.set("spark.sql.shuffle.partitions", "4")
-        spark.catalog.clearCache()
     assert got == flags(data)
 
 
+def test_deviations():
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, 60).round(1)
+    s = np.array([0] * 25 + [1] * 3 + [2] * 32)
+    scale = np.array([0.3, 0.0, np.nan])[s]
+    got = spikes.hampel(s, v, scale)[1]
+    for i in range(len(v)):
+        lo, hi = i - 3, i + 4
+        if lo < 0 or hi > len(v) or s[lo] != s[hi - 1]:
+            assert np.isnan(got[i])
+            continue
+        w = v[lo:hi]
+        unit = np.fmax(np.median(np.abs(w - np.median(w))), scale[i])
+        assert got[i] == abs(v[i] - np.median(w)) / unit if unit > 0 else np.isnan(got[i])
+
+
 def test_hampel_holds_every_spike():
     """The filter's hits, widened, hold all runs: on made-up series of few levels, where windows tie."""
     rng = np.random.default_rng(3)
@@ -209,7 +226,7 @@ def test_hampel_holds_every_spike():
                 run, a, b = v[i:i + r], v[i - 1], v[i + r]
                 if run.min() - max(a, b) > 10 * scale[0] or min(a, b) - run.max() > 10 * scale[0]:
                     want[i:i + r] = True
-        assert (spikes.spikes(s, v, scale, 10.0) == want).all()
+        assert (spikes.spikes(s, v, scale, 10.0)[0] == want).all()
 
 
 def test_distinct_readings_keeps_first(spark):
