@@ -52,8 +52,7 @@ def p3_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = grid.occupied_cells(table(spark, d, SERIES))
-    return grid.empty_runs(parts).select("enumstring", F.col("first_cell").alias("first_hour"), F.col("last_cell").alias("last_hour"))
+    return grid.empty_runs(table(spark, d, SERIES)).select("enumstring", F.col("first_cell").alias("first_hour"), F.col("last_cell").alias("last_hour"))
 
 
 def p5_series(spark: SparkSession, d: str) -> DataFrame:

@@ -111,10 +111,10 @@ def test_empty_runs(spark):
     for src, rs in readings(data).items():
         cells = sorted({r[0] // HOUR_US for r in rs})
         want += [(src, a + 1, b - 1) for a, b in zip(cells, cells[1:]) if b > a + 1]
-    assert rows(grid.empty_runs(grid.occupied_cells(df))) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
-    assert grid.empty_runs(grid.occupied_cells(df.limit(0))).count() == 0
+    assert rows(grid.empty_runs(df)) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
+    assert grid.empty_runs(df.limit(0)).count() == 0 and grid.regular_series(df.limit(0)).count() == 0
     spark.conf.set("spark.sql.shuffle.partitions", "60")
-    assert rows(grid.empty_runs(grid.occupied_cells(df))) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
+    assert rows(grid.empty_runs(df)) == sorted(want, key=lambda r: tuple((True, str(x)) for x in r))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
