@@ -15,6 +15,18 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return digest.percentiles(table(spark, d, "simple10q"))
 
 
+def p4_certified(spark: SparkSession, d: str) -> DataFrame:
+    """Number of values, and whether the exact ranks certify the stated error."""
+    return digest.percentiles(table(spark, d, "simple10q")).select("enumstring", "metric", "p", "n", "within")
+
+
+def p4_days(spark: SparkSession, d: str) -> DataFrame:
+    """What the days' digests say of number and range."""
+    x = digest.digests(table(spark, d, "simple10q"))
+    weights = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return x.groupBy(F.col("k").alias("enumstring"), "metric", F.col("part").alias("day")).agg(F.sum("n").alias("n"), F.sum(weights).alias("weight"), F.min("lo").alias("low"), F.max("hi").alias("high"))
+
+
 def p4_digests(spark: SparkSession, d: str) -> DataFrame:
     return digest.digests(table(spark, d, "simple10q"))
 
@@ -47,7 +59,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.verdicts(table(spark, d, "documents")).filter(F.col("verdict") == "repetitive").select("doc_id")
+    judged = repetition.verdicts(table(spark, d, "documents"), limits={"phrase": 0.25})
+    return judged.filter(F.col("verdict") == "repetitive").select("doc_id")
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -56,11 +69,18 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_hosts(spark: SparkSession, d: str) -> DataFrame:
     measured = durable(repetition.repetition(table(spark, d, "documents"), keep=("source",)))
-    return repetition.host_rates(measured, "source", {"phrase": 0.25, "sentence": 0.3, "line": 0.3})
+    return repetition.host_rates(measured, "source", repetition.LIMITS)
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_digests, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_documents, p9_hosts)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_digests, p4_certified, p4_days, p7_packing, p7_fill, p8_mixture, p8_shares, p9_found, p9_documents, p9_hosts)}
+P4 = """
+WITH r AS (SELECT enumstring, datetime, arg_min(struct_pack(v := volume, c := close), rowid) AS x FROM simple10q
+  WHERE enumstring IS NOT NULL AND datetime IS NOT NULL AND datetime <> TIMESTAMP '1970-01-01 00:00:00' GROUP BY 1, 2),
+v AS (SELECT enumstring, datetime, unnest(['volume', 'close']) AS metric, unnest([CAST(x.v AS DOUBLE), x.c]) AS v FROM r)
+"""
 ORACLE = {
+    "p4_certified": P4 + "SELECT enumstring, metric, CAST(p AS DOUBLE) AS p, count(*) AS n, true AS within FROM v, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) q(p) WHERE v IS NOT NULL GROUP BY ALL",
+    "p4_days": P4 + "SELECT enumstring, metric, epoch_us(datetime) // 86400000000 AS day, count(*) AS n, count(*) AS weight, min(v) AS low, max(v) AS high FROM v WHERE v IS NOT NULL GROUP BY ALL",
     "p9_found": r"""
 WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS total FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents)),
 g AS (SELECT doc_id, i, total, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g FROM w),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -11,88 +13,119 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import starts
 from tessella.session import durable, spread
 
 WORD = re.compile(r"\w+")
-SENTENCE_END = re.compile(r"[.!?]+\s+|\n")
+SENTENCE_END = re.compile(r"[.!?]+\s+")
 RULES = ("phrase", "sentence", "line")
-
-
-def gram_ids(ids: np.ndarray, n: int) -> np.ndarray:
-    """Equal integers for equal sequences of ``n`` items, by doubling: exact, not hashed. The last
-    ``n - 1`` places have none."""
-
-    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        top = int(max(a.max(initial=0), b.max(initial=0))) + 1
-        return np.unique(a * top + b, return_inverse=True)[1].astype(np.int64)
-
-    block, size, acc, covered = ids, 1, None, 0
-    while True:
-        if n & size:
-            if acc is None:
-                acc, covered = block, size
-            else:
-                m = len(ids) - covered - size + 1
-                if m <= 0:
-                    return np.zeros(0, np.int64)
-                acc = pairs(acc[:m], block[covered:covered + m])
-                covered += size
-        if covered == n:
-            return acc
-        if len(block) <= size:
-            return np.zeros(0, np.int64)
-        block = pairs(block[:len(block) - size], block[size:])
-        size *= 2
-
-
-def covered_words(doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+LIMITS = {"phrase": 0.25, "sentence": 0.3, "line": 0.3}
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII characters that stand in words as they are, others as blanks; bytes beyond ASCII stay.
+BLANKS = bytes(i if i > 127 or chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
+
+
+def words_of(texts: list[str]) -> list[list[bytes]]:
+    """The words of lower-case texts, encoded. Other characters become blanks: those beyond ASCII one by one,
+    as few occur, the rest by a table."""
+    seen = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), minlength=1)
+    other = [c for c in map(chr, np.flatnonzero(seen).tolist()) if not c.isascii() and not c.isalnum()]
+    out = []
+    for t in texts:
+        for c in other:
+            t = t.replace(c, " ")
+        out.append(t.encode().translate(BLANKS).split())
+    return out
+
+
+def said_before(doc: np.ndarray, words: list, n: int) -> np.ndarray:
+    """Places where a sequence of ``n`` words begins that began earlier in the same document.
+
+    Sequences are sorted by a hash; those that share theirs with another one are compared word by
+    word, so that the result is exact."""
+    m = len(words) - n + 1
+    if m < 1:
+        return np.zeros(0, np.int64)
+    w = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    h = (doc[:m].astype(np.uint64) + np.uint64(1)) * FACTOR
+    for j in range(n):
+        h = (h ^ (h >> np.uint64(29))) * FACTOR + w[j:j + m]
+    at = np.flatnonzero(doc[:m] == doc[n - 1:])
+    if not len(at):
+        return at
+    by = at[np.argsort(h[at])]
+    first = np.flatnonzero(starts(h[by]))
+    size = np.diff(np.append(first, len(by)))
+    groups = np.repeat(np.minimum.reduceat(by, first), size)
+    later = np.flatnonzero(by != groups)
+    out, clash = [], set()
+    for p, q in zip(by[later].tolist(), groups[later].tolist()):
+        if doc[p] == doc[q] and words[p:p + n] == words[q:q + n]:
+            out.append(p)
+        else:
+            clash.add(q)
+    if clash:  # different sequences of equal hash
+        seen = set()
+        mine = np.isin(groups, list(clash))
+        out = [p for p, q in zip(by[later].tolist(), groups[later].tolist()) if q not in clash]
+        for p in np.sort(by[mine]).tolist():
+            k = (doc[p], *words[p:p + n])
+            if k in seen:
+                out.append(p)
+            seen.add(k)
+    return np.array(out, np.int64)
+
+
+def covered_words(doc: np.ndarray, words: list, n: int) -> np.ndarray:
     """Which words stand in a sequence of ``n`` words that began earlier in the same document."""
-    out = np.zeros(len(ids), bool)
-    if len(ids) < n:
-        return out
-    grams = gram_ids(ids, n)
-    at = np.flatnonzero(doc[:len(grams)] == doc[n - 1:])
-    g, d = grams[at], doc[at]
-    by = np.lexsort((at, g, d))
-    again = np.zeros(len(at), bool)
-    again[by[1:]] = (g[by[1:]] == g[by[:-1]]) & (d[by[1:]] == d[by[:-1]])
-    change = np.zeros(len(ids) + 1, np.int64)
-    start = at[again]
+    change = np.zeros(len(words) + 1, np.int64)
+    start = said_before(doc, words, n)
     np.add.at(change, start, 1)
     np.add.at(change, start + n, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated_units(units: list[str]) -> float:
+def repeated_units(units: list[list[str]]) -> float:
     """Share of the characters that stand in units (sentences, lines) said before."""
     seen: set[str] = set()
     total = again = 0
     for u in units:
-        u = " ".join(WORD.findall(u))
         if u:
-            total += len(u)
-            if u in seen:
-                again += len(u)
-            seen.add(u)
+            x = " ".join(u)
+            total += len(x)
+            if x in seen:
+                again += len(x)
+            seen.add(x)
     return again / total if total else 0.0
 
 
-def measure(texts: list[str | None], n: int) -> tuple[np.ndarray, ...]:
-    """Words, repeated words, and repeated shares of sentences and lines, of each text."""
+def measure(texts: list[str | None], n: int, rules: Sequence[str] = RULES) -> dict[str, np.ndarray]:
+    """Words, repeated words, and the shares asked for, of each text; each text is cut into words once."""
+    words, count, unit = [], [], {r: [] for r in rules if r != "phrase"}
     lower = [t.lower() if t else "" for t in texts]
-    words = [WORD.findall(t) for t in lower]
-    count = np.array([len(w) for w in words], np.int64)
+    for t in lower if unit else words_of(lower):
+        before = len(words)
+        if unit:
+            lines = [[WORD.findall(x) for x in SENTENCE_END.split(row)] for row in t.split("\n")]
+            for row in lines:
+                for x in row:
+                    words += x
+            if "sentence" in unit:
+                unit["sentence"].append(repeated_units([x for row in lines for x in row]))
+            if "line" in unit:
+                unit["line"].append(repeated_units([[w for x in row for w in x] for row in lines]))
+        else:
+            words += t
+        count.append(len(words) - before)
+    count = np.array(count, np.int64)
     doc = np.repeat(np.arange(len(texts)), count)
-    codes: dict[str, int] = {}
-    ids = np.fromiter((codes.setdefault(w, len(codes)) for ws in words for w in ws), np.int64, int(count.sum()))
-    again = np.bincount(doc[covered_words(doc, ids, n)], minlength=len(texts)).astype(np.int64)
-    sentence = np.array([repeated_units(SENTENCE_END.split(t)) for t in lower])
-    line = np.array([repeated_units(t.split("\n")) for t in lower])
-    return count, again, sentence, line
+    again = np.bincount(doc[covered_words(doc, words, n)], minlength=len(texts)).astype(np.int64)
+    out = {"words": count, "repeated_words": again, "phrase": again / np.maximum(count, 1)}
+    return {k: v for k, v in out.items() if k != "phrase" or "phrase" in rules} | {k: np.array(v, float) for k, v in unit.items()}
 
 
-def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 8, keep: tuple[str, ...] = (), chars: int = 1_000_000) -> DataFrame:
-    """``(key, *keep, words, repeated_words, phrase, sentence, line)`` for every row of ``df``.
+def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 8, keep: tuple[str, ...] = (), chars: int = 1_000_000, rules: Sequence[str] = RULES) -> DataFrame:
+    """``(key, *keep, words, repeated_words, *rules)`` for every row of ``df``.
 
     ``phrase`` is the share of the words that stand in a sequence of ``n`` words that began earlier
     in the same text; ``sentence`` and ``line`` the shares of characters in sentences and lines said
@@ -102,6 +135,8 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     are dealt out first where there are fewer partitions than cores."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, *keep)}
     names = [f"c{i}" for i in range(len(kinds))]
+    rules = [r for r in RULES if r in rules]
+    shape = {"words": "bigint", "repeated_words": "bigint"} | dict.fromkeys(rules, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,19 +146,19 @@ def repetition(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
                 base = sizes[a - 1] if a else 0
                 e = max(a + 1, int(np.searchsorted(sizes, base + chars)))
                 part = b.slice(a, e - a)
-                count, again, sentence, line = measure(part.column("text").to_pylist(), n)
-                phrase = again / np.maximum(count, 1)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *map(pa.array, (count, again, phrase, sentence, line))], names=[*names, "words", "repeated_words", "phrase", "sentence", "line"])
+                got = measure(part.column("text").to_pylist(), n, rules)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *[pa.array(got[c]) for c in shape]], names=[*names, *shape])
                 a = e
 
     picked = spread(df.select(*[F.col(c).alias(x) for c, x in zip(kinds, names)], F.col(text).cast("string").alias("text")))
-    shape = ", ".join(f"{x} {k}" for x, k in zip(names, kinds.values()))
-    out = picked.mapInArrow(run, f"{shape}, words bigint, repeated_words bigint, phrase double, sentence double, line double")
+    out = picked.mapInArrow(run, ", ".join(f"{x} {k}" for x, k in zip([*names, *shape], [*kinds.values(), *shape.values()])))
     return out.withColumnsRenamed(dict(zip(names, kinds)))
 
 
 def host_rates(measured: DataFrame, host: str, limits: dict[str, float], worst: float = 0.1) -> DataFrame:
-    """Per host: documents, failures of each rule, failures of any, its raw and shrunk rate and verdict.
+    """Per host: documents, failures of each rule, failures of any, its raw and shrunk rate, whether it is
+    ``suspect``, and its verdict: ``clean`` without any failure, ``suspect``, or ``mixed``. ``<rule>_limit`` is the limit
+    that the host's documents have to meet: null at a host without failures of that rule.
 
     Rates are shrunk towards the mean of all hosts with a beta prior fitted by moments: the spread of
     the hosts' rates beyond what their sizes explain gives the prior's weight. A host is suspect if
@@ -135,7 +170,8 @@ def host_rates(measured: DataFrame, host: str, limits: dict[str, float], worst:
     s = g.agg(F.sum("docs").alias("n"), F.sum("fails").alias("x"), F.count("*").alias("h"), F.avg(F.col("fails") / F.col("docs")).alias("m"), F.var_samp(F.col("fails") / F.col("docs")).alias("v"), F.avg(1 / F.col("docs")).alias("inv")).first()
     a, b = beta_prior(s.n or 0, s.x or 0, s.h or 0, s.m, s.v, s.inv)
     shrunk = (F.col("fails") + a) / (F.col("docs") + a + b)
-    return g.withColumn("rate", F.col("fails") / F.col("docs")).withColumn("shrunk", shrunk).withColumn("suspect", F.col("shrunk") > worst)
+    return g.withColumn("rate", F.col("fails") / F.col("docs")).withColumn("shrunk", shrunk).withColumn("suspect", F.col("shrunk") > worst).withColumns(
+        {"host_verdict": F.when(F.col("fails") == 0, "clean").when(F.col("suspect"), "suspect").otherwise("mixed")} | {f"{r}_limit": F.when(F.col(f"{r}_fails") > 0, F.lit(float(x))) for r, x in limits.items()})
 
 
 def beta_prior(n: int, x: int, hosts: int, mean: float | None, var: float | None, inverse: float | None) -> tuple[float, float]:
@@ -150,19 +186,19 @@ def beta_prior(n: int, x: int, hosts: int, mean: float | None, var: float | None
 
 def verdicts(df: DataFrame, host: str = "source", key: str = "doc_id", text: str = "text", n: int = 8, limits: dict[str, float] | None = None, worst: float = 0.1) -> DataFrame:
     """Each document's measures and verdict, with its host's: ``(key, host, words, repeated_words,
-    phrase, sentence, line, host_shrunk, host_suspect, verdict)``.
-
-    A document is ``repetitive`` if it fails the ``phrase`` rule, ``doubtful`` if it fails another rule
-    or comes from a suspect host, else ``clean``. Documents without host form one host of their own.
-    The measures are stored once; hosts are joined back by a table with one row each, which Spark
-    broadcasts if small and otherwise joins with skewed partitions split."""
-    limits = limits or {"phrase": 0.25, "sentence": 0.3, "line": 0.3}
-    measured = durable(repetition(df, key, text, n, (host,)))
-    rates = host_rates(measured, host, limits, worst).select(F.col(host).alias("_h"), F.col("shrunk").alias("host_shrunk"), F.col("suspect").alias("host_suspect"))
+    *limits, host_shrunk, host_suspect, host_verdict, verdict)``.
+
+    Failures are added up by host first, and each document is judged by its host's row: it is
+    ``repetitive`` if it reaches the host's limit for ``phrase``, ``doubtful`` if it reaches another of the
+    host's limits or comes from a suspect host, else ``clean``. Only the rules in ``limits`` are measured.
+    Documents without host form one host of their own. The measures are stored once, when this is
+    called; hosts are joined back by a table with one row each, which Spark broadcasts if small and
+    otherwise joins with skewed partitions split."""
+    limits = limits or LIMITS
+    measured = durable(repetition(df, key, text, n, (host,), rules=tuple(limits)))
+    rates = host_rates(measured, host, limits, worst).select(F.col(host).alias("_h"), F.col("shrunk").alias("host_shrunk"), F.col("suspect").alias("host_suspect"), "host_verdict", *[F.col(f"{r}_limit").alias(f"_{r}") for r in limits])
     out = measured.join(rates, F.col(host).eqNullSafe(F.col("_h")), "left").drop("_h")
-    other = F.lit(False)
-    for r, x in limits.items():
-        if r != "phrase":
-            other = other | (F.col(r) >= x)
-    verdict = F.when(F.col("phrase") >= limits["phrase"], "repetitive").when(other | F.col("host_suspect"), "doubtful").otherwise("clean")
-    return out.withColumn("verdict", verdict)
+    fails = {r: F.coalesce(F.col(r) >= F.col(f"_{r}"), F.lit(False)) for r in limits}
+    other = reduce(or_, [f for r, f in fails.items() if r != "phrase"], F.col("host_suspect"))
+    verdict = F.when(fails.get("phrase", F.lit(False)), "repetitive").when(other, "doubtful").otherwise("clean")
+    return out.withColumn("verdict", verdict).drop(*[f"_{r}" for r in limits])

@@ -74,6 +74,17 @@ def test_merging_keeps_the_rank_error(spark):
     m, w = np.array(twice["a", "close"].means), np.array(twice["a", "close"].weights)
     median = np.interp(3000, np.cumsum(w) - w / 2, m)
     assert abs(np.searchsorted(v, median) - 3000) <= 2 * math.pi / 500 * 6000
+    # many digests of a source are merged in rounds, and ranges cut sources where they like
+    rounds = {(r.k, r.metric): r for r in digest.merged(parts, 500, fan=2).collect()}
+    assert {k: (r.n, sum(r.weights), r.lo, r.hi) for k, r in rounds.items()} == {k: (r.n, sum(r.weights), r.lo, r.hi) for k, r in whole.items()}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    cut = {(r.enumstring, r.metric, r.p): r for r in digest.percentiles(df, (0.0, 0.1, 0.5, 0.99, 1.0), delta=500, stated=2 * math.pi / 500).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(cut) == len(got) and all(r.within for r in cut.values())
+    for r in cut.values():
+        if r.metric == "close":
+            v = values[r.enumstring]
+            assert (r.n, r.below, r.up_to) == (len(v), (v < r.value).sum(), (v <= r.value).sum())
     assert digest.percentiles(df.limit(0)).count() == 0
 
 
@@ -203,21 +214,46 @@ def plain_share(text, n=8):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=40), min_size=1, max_size=5), st.integers(1, 9))
 def test_covered_words(docs, n):
-    count, again, _, _ = repetition.measure([" ".join(d) for d in docs], n)
-    assert list(zip(again.tolist(), count.tolist())) == [plain_share(" ".join(d), n) for d in docs]
+    got = repetition.measure([" ".join(d) for d in docs], n)
+    assert list(zip(got["repeated_words"].tolist(), got["words"].tolist())) == [plain_share(" ".join(d), n) for d in docs]
 
 
-def test_gram_ids_are_exact():
+def test_equal_hashes_are_compared(monkeypatch):
     rng = np.random.default_rng(0)
-    for n in range(1, 12):
-        ids = rng.integers(0, 3, 200)
-        g = repetition.gram_ids(ids, n)
-        assert len(g) == 200 - n + 1
-        groups = {}
-        for i, x in enumerate(g.tolist()):
-            groups.setdefault(x, set()).add(tuple(ids[i:i + n]))
-        assert all(len(v) == 1 for v in groups.values()) and len(groups) == len({tuple(ids[i:i + n]) for i in range(len(g))})
-        assert len(repetition.gram_ids(ids[:n - 1], n)) == 0
+    texts = [" ".join(rng.choice(list("abc"), 60)) for _ in range(5)]
+    want = repetition.measure(texts, 3)["repeated_words"].tolist()
+    monkeypatch.setattr(repetition, "FACTOR", np.uint64(0))  # hashes that often agree
+    monkeypatch.setattr(repetition, "hash", lambda w: 1, raising=False)
+    assert repetition.measure(texts, 3)["repeated_words"].tolist() == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=60), min_size=1, max_size=4))
+def test_words_are_runs_of_letters_digits_and_underscores(texts):
+    texts = [t.encode("utf-8", "ignore").decode().lower() for t in texts]
+    assert [[w.decode() for w in ws] for ws in repetition.words_of(texts)] == [repetition.WORD.findall(t) for t in texts]
+
+
+def test_units_of_a_text():
+    text = "One two. Three?\nOne two! Four five six. One two.\nThree"
+    got = repetition.measure([text], 8)
+    units = ["one two", "three", "one two", "four five six", "one two", "three"]
+    lines = ["one two three", "one two four five six one two", "three"]
+    total = sum(map(len, units))
+    assert got["sentence"][0] == (len("one two") * 2 + len("three")) / total and got["line"][0] == 0.0 and len(lines) == 3
+    assert set(repetition.measure([text], 8, ("phrase",))) == {"words", "repeated_words", "phrase"}
+
+
+def test_documents_are_judged_by_their_hosts(spark, monkeypatch):
+    said = "the court finds that the claim must be dismissed. " * 3
+    df = spark.createDataFrame([(1, said, "a"), (2, "nothing to see here", "a"), (3, said, "b"), (4, "quiet", "c")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.verdict, r.host_verdict) for r in repetition.verdicts(df, limits={"phrase": 0.25}).collect()}
+    assert got[1][0] == got[3][0] == "repetitive" and got[2][0] != "repetitive" and got[4] [1] == "clean"
+    rates = repetition.host_rates
+    # a host's limit decides on its documents: take it away from host b
+    monkeypatch.setattr(repetition, "host_rates", lambda *a: rates(*a).withColumn("phrase_limit", F.when(F.col("source") != "b", F.col("phrase_limit"))))
+    got = {r.doc_id: r.verdict for r in repetition.verdicts(df, limits={"phrase": 0.25}).collect()}
+    assert got[1] == "repetitive" and got[3] != "repetitive"
 
 
 def test_repetition_of_texts(spark):
