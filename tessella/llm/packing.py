@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
@@ -16,21 +17,29 @@ from tessella.operators.ordered import map_partition
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container of each item (sizes from 1 to ``capacity``, descending). A container's cost is the
     sum of ``n + n * n / capacity`` over its items; an item goes to the container of lowest cost with
-    room for it, out of as many as the total needs at least, or to a new one where none has room."""
-    n = len(sizes)
-    least = max(1, math.ceil(int(sizes.sum()) / capacity))
-    room, cost = np.full(max(n, least), capacity, np.int64), np.zeros(max(n, least))
-    out, used = np.zeros(n, np.int64), least
-    step = sizes + sizes * sizes / capacity
-    for i, size in enumerate(sizes):
-        fits = np.flatnonzero(room[:used] >= size)
-        if len(fits):
-            j = fits[np.argmin(cost[fits])]
+    room for it (of the lowest number, if costs are equal), out of as many as the total needs at
+    least, or to a new one where none has room.
+
+    Containers with room stand in a heap by cost, the others in one by room: as sizes only shrink, one
+    that has no room now comes back once an item is small enough."""
+    used = max(1, math.ceil(int(sizes.sum()) / capacity))
+    fit: list[tuple[float, int, int]] = [(0.0, j, capacity) for j in range(used)]
+    full: list[tuple[int, int, float]] = []
+    out = np.zeros(len(sizes), np.int64)
+    for i, (size, step) in enumerate(zip(sizes.tolist(), (sizes + sizes * sizes / capacity).tolist())):
+        while full and -full[0][0] >= size:
+            room, j, cost = heapq.heappop(full)
+            heapq.heappush(fit, (cost, j, -room))
+        # an item is no larger than those before, so what stands in the heap has room but for this check
+        while fit and fit[0][2] < size:
+            cost, j, room = heapq.heappop(fit)
+            heapq.heappush(full, (-room, j, cost))
+        if fit:
+            cost, j, room = heapq.heappop(fit)
         else:
-            j, used = used, used + 1
-        room[j] -= size
-        cost[j] += step[i]
+            cost, j, room, used = 0.0, used, capacity, used + 1
         out[i] = j
+        heapq.heappush(fit, (cost + step, j, room - size))
     return out
 
 
@@ -59,6 +68,14 @@ def packed_shard(ids: pa.Array, sizes: np.ndarray, shard: int, packs: Sequence[t
     return out
 
 
+def numbered(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with ``copy``, a number from 0 among rows that agree in all ``columns``: such rows are counted
+    map-side and written out again, in blocks of bounded size, which needs no order and no window."""
+    counts = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
+    blocks = counts.select(*columns, "_n", F.explode(F.expr("sequence(0L, _n - 1, 10000L)")).alias("_b"))
+    return blocks.select(*columns, F.explode(F.sequence("_b", F.least(F.col("_b") + 9_999, F.col("_n") - 1))).alias("copy"))
+
+
 def pack(sized: DataFrame, packs: Sequence[tuple[str, int]], key: str = "doc_id", size: str = "n_tokens", items: int = 0, per_shard: int = 20_000) -> DataFrame:
     """``(pack_kind, key, piece, first_token, n_tokens, container)`` for every row and capacity.
 
@@ -66,14 +83,14 @@ def pack(sized: DataFrame, packs: Sequence[tuple[str, int]], key: str = "doc_id"
     itself, so that a container's number is unique within its kind and the space lost by sharding is
     less than a container each. ``items`` is the number of rows (0: it is counted). An item above
     the capacity is cut into full containers and one rest; others are whole. Items of size 0 or null
-    have no container. Equal items, and rows of equal key, are packed like any others."""
+    have no container. Rows of equal key and size are numbered, so that copies are spread over the
+    shards too; what comes out depends on keys and sizes alone, not on how the rows are split."""
     if any(c < 1 for _, c in packs):
         raise ValueError("capacities are at least 1")
     shards = max(1, math.ceil((items or sized.count()) / per_shard))
     kind = sized.schema[key].dataType.simpleString()
     rows = sized.select(F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"))
-    # the row's own number spreads copies too
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(shards)))
+    rows = numbered(rows, ["k", "n"]).withColumn("shard", F.pmod(F.xxhash64("k", "n", "copy"), F.lit(shards)))
 
     def run(t: pa.Table) -> pa.Table:
         shard, n = t["shard"].to_numpy(), t["n"].to_numpy()
