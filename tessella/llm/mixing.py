@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.llm.packing import numbered
+
 MOST_TARGETS = 100_000
 
 
@@ -64,20 +66,21 @@ def mixture(sized: DataFrame, targets: list[tuple[str, float, int]], budget: int
     position through the inverse of the source's demand. Rows beyond the demand are not used. The
     running sums are taken within hash buckets of about ``per_bucket`` rows, and the buckets' sums
     are added up separately, so that a source of any share is spread. Rows without a target source
-    or without tokens are not used. No target, or none with tokens: no rows."""
+    or without tokens are not used. The order depends on keys, sources and sizes alone, not on how the
+    rows are split. No target, or none with tokens: no rows."""
     names = [s for s, _, _ in targets]
-    rows = sized.filter(F.col(size) > 0).select(F.col(source).alias("source"), F.col(key).alias("k"), F.col(size).cast("bigint").alias("n"), F.monotonically_increasing_id().alias("row")).filter(F.col("source").isin(names))
+    rows = sized.filter(F.col(size) > 0).select(F.col(source).alias("source"), F.col(key).alias("k"), F.col(size).cast("bigint").alias("n")).filter(F.col("source").isin(names))
     stats = {r.source: (r.supply, r.docs) for r in supply_of(rows, size="n").collect()}
     made = plan(targets, {s: x for s, (x, _) in stats.items()}, budget, drift)
     spark = sized.sparkSession
     bits = max(4, math.ceil(math.log2(max(1, sum(d for _, d in stats.values()) / per_bucket))))
     table = spark.createDataFrame(made, "source string, share double, supply bigint, demand double, epochs int, slope double")
-    copies = rows.join(table, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    copies = copies.withColumn("h", F.xxhash64("row", "epoch", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    copies = numbered(rows, ["source", "k", "n"]).join(table, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
+    copies = copies.withColumn("h", F.xxhash64("k", "n", "copy", "epoch", F.lit(seed))).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     by = ["source", "epoch", "bucket"]
     sums = copies.groupBy(*by).agg(F.sum("n").alias("total"))
     before = sums.withColumn("before", F.sum("total").over(W.partitionBy("source", "epoch").orderBy("bucket")) - F.col("total")).drop("total")
-    within = F.sum("n").over(W.partitionBy(*by).orderBy("h", "row").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    within = F.sum("n").over(W.partitionBy(*by).orderBy("h", "k", "n", "copy").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     placed = copies.withColumn("within", within).join(before, by)
     middle = F.col("epoch") * F.col("supply") + F.col("before") + F.col("within") + F.col("n") / 2
     used = placed.withColumn("u", middle / F.col("demand")).filter("u < 1")
