@@ -7,6 +7,8 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +30,16 @@ def session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where none is set, a temporary one on a local
+    master (tests), and an error elsewhere: other machines wouldn't see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return named or current.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="tessella-")
         atexit.register(shutil.rmtree, named, True)
     sc.setCheckpointDir(named)
@@ -42,13 +47,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A path in the shared folder for one table, deleted at the session's end."""
+    """A path in the shared folder for one table, deleted at the session's end, or at the end of the
+    surrounding ``temporary``."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessella-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return path
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators store within are deleted at the end; what is to be kept of a result that
+    reads them has to be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _OPEN.pop():
+            hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df``, computed once and written as a table in the shared folder, which is deleted at the
     session's end. What follows reads the table, so neither a second use nor a lost executor
