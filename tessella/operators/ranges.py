@@ -29,11 +29,12 @@ def stored_ranges(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def with_rank(df: DataFrame, by: Sequence[str], name: str = "rank") -> DataFrame:
     """``df`` with its 0-based row number in the order of ``by``. Only the ranges' sizes, one row for
-    each, are summed in a single task."""
+    each, are summed in a single task; they are stored, so that Spark joins them by their size. Jobs
+    run when this is called."""
     s = stored_ranges(df, by)
     sizes = s.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return s.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return s.join(durable(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def bucketed(df: DataFrame, n: int, by: Sequence[str], name: str = "bucket") -> DataFrame:
@@ -45,19 +46,20 @@ def bucketed(df: DataFrame, n: int, by: Sequence[str], name: str = "bucket") ->
 def carry_last(df: DataFrame, keys: Sequence[str], by: Sequence[str], value: Column, name: str) -> DataFrame:
     """``df`` with the last non-null ``value`` at or before each row among rows of equal ``keys`` (null
     equals null), in the order of ``by``. Groups of any size are spread over ranges of ``by``; from
-    range to range only one value per range travels."""
+    range to range only one value per range travels. Jobs run when this is called."""
     s = stored_ranges(df.withColumn("_v", value), [*keys, *by])
     inside = W.partitionBy("_part", *keys).orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     k = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keys])
     # per range its first key and its last key with the last value seen under it
     ends = s.groupBy("_part").agg(F.min_by(k, "_at").alias("_first"), F.max_by(k, "_at").alias("_last"))
-    tails = s.join(F.broadcast(ends.select("_part", "_last")), "_part").filter(k.eqNullSafe(F.col("_last")) & F.col("_v").isNotNull()).groupBy("_part").agg(F.max_by("_v", "_at").alias("_tail"))
+    ends = durable(ends)
+    tails = s.join(ends.select("_part", "_last"), "_part").filter(k.eqNullSafe(F.col("_last")) & F.col("_v").isNotNull()).groupBy("_part").agg(F.max_by("_v", "_at").alias("_tail"))
     seen = ends.join(tails, "_part", "left")
     # the value handed on: the nearest earlier range's tail that has one, if no other key lies between
     w = W.orderBy("_part")
     over = w.rowsBetween(W.unboundedPreceding, -1)
     handed = seen.withColumn("_from", F.last(F.when(F.col("_tail").isNotNull(), F.struct("_last", "_tail")), ignorenulls=True).over(over))
     handed = handed.select("_part", F.col("_first"), F.when(F.col("_from._last").eqNullSafe(F.col("_first")), F.col("_from._tail")).alias("_handed"))
-    out = s.join(F.broadcast(handed), "_part")
+    out = s.join(durable(handed), "_part")
     own = F.last("_v", ignorenulls=True).over(inside)
     return out.withColumn(name, F.coalesce(own, F.when(k.eqNullSafe(F.col("_first")), F.col("_handed")))).drop("_v", "_part", "_at", "_first", "_handed")
