@@ -219,23 +219,23 @@ def write_delimited(df: DataFrame, path: str, delim: str = ",", order: Sequence[
     out.write.mode("overwrite").option("sep", delim).option("header", True).option("escape", '"').option("timestampNTZFormat", "yyyy.MM.dd'T'HH:mm:ss.SSS").option("emptyValue", "").csv(path)
 
 
-def load(spark: SparkSession, target: str, source: DataFrame, append: bool = False) -> DataFrame:
+def stored(spark: SparkSession, target: str, source: DataFrame, append: bool = False) -> DataFrame:
     """A table read from files, stored column-wise at ``target``, over or after what is there."""
     source.write.mode("append" if append else "overwrite").parquet(target)
     return spark.read.parquet(target)
 
 
 def create_table(spark: SparkSession, target: str, path: str, delim: str, codes: str, header_rows: int = 1, **more) -> DataFrame:
-    return load(spark, target, read_delimited(spark, path, delim, codes, header_rows, **more))
+    return stored(spark, target, read_delimited(spark, path, delim, codes, header_rows, **more))
 
 
 def append_table(spark: SparkSession, target: str, path: str, delim: str, codes: str, header_rows: int = 1, **more) -> DataFrame:
-    return load(spark, target, read_delimited(spark, path, delim, codes, header_rows, **more), append=True)
+    return stored(spark, target, read_delimited(spark, path, delim, codes, header_rows, **more), append=True)
 
 
 def create_table_fixed(spark: SparkSession, target: str, path: str, spec: Mapping) -> DataFrame:
-    return load(spark, target, read_fixed(spark, path, **spec))
+    return stored(spark, target, read_fixed(spark, path, **spec))
 
 
 def append_table_fixed(spark: SparkSession, target: str, path: str, spec: Mapping) -> DataFrame:
-    return load(spark, target, read_fixed(spark, path, **spec), append=True)
+    return stored(spark, target, read_fixed(spark, path, **spec), append=True)

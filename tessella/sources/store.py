@@ -41,15 +41,24 @@ def select_by_day(spark: SparkSession, path: str, where: Column | None, aggregat
 
 def replace(df: DataFrame, path: str) -> DataFrame:
     """Writes ``df``, which may be computed from the table at ``path``, in its place: aside first, then
-    swapped, so that a failure leaves the old table."""
+    swapped. The old table is deleted only once the new one stands in its place; if that fails, it is
+    put back."""
     spark = df.sparkSession
     aside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(aside)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(aside), hadoop(path))
+    there = fs.exists(hadoop(path))
+    if there and not fs.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"can't move {path}; the new table is in {aside}")
+    try:
+        moved = fs.rename(hadoop(aside), hadoop(path))
+    except Exception:
+        moved = False
+    if not moved:
+        if there and not fs.rename(hadoop(old), hadoop(path)):
+            raise OSError(f"can't put {old} back to {path}")
+        raise OSError(f"can't move {aside} to {path}")
     fs.delete(hadoop(old), True)
     return spark.read.parquet(path)
 

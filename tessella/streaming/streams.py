@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessella.operators.tables import upsert
-from tessella.sources.store import replace
 
 
 def ticks(spark: SparkSession, path: str, schema: T.StructType, per_batch: int | None = None, files: str = "*.parquet") -> DataFrame:
@@ -45,72 +44,92 @@ def stream_distinct(df: DataFrame, stamp: str, keys: list[str], late: str = "10
     return df.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that upserts each micro-batch into the stored table at ``path``. A batch
-    that is replayed gives the same table."""
+BUCKET = "_bucket"
+
+
+def upsert_into(path: str, keys: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that upserts each micro-batch into the stored table at ``path``, which is
+    cut into ``buckets`` by a hash of the keys: only those that a batch meets are read and written
+    again. A batch that is replayed gives the same table, also after a failure half-way. Read it with
+    ``upserted``."""
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         there = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path))
         last = batch.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        replace(upsert(spark.read.parquet(path), last, keys, order) if there else last, path)
+        last = last.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        met = [r[0] for r in last.select(BUCKET).distinct().collect()]
+        if there and met:
+            old = spark.read.parquet(path).filter(F.col(BUCKET).isin(met))
+            out = upsert(old.select(*last.columns), last, keys, order)
+        else:
+            out = last
+        if met:
+            out.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+        last.unpersist()
 
     return run
 
 
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_into`` keeps."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
+ANSWER = "id long, us long, value double"
+
+
 class LastBefore(StatefulProcessor):
     """As-of join on a stream of both sides: per key the right rows not yet passed by the watermark, and the
-    latest before; a left row is answered once the watermark has passed it."""
-
-    def __init__(self, value: str = "value"):
-        self.value = value
+    latest before; a left row is answered once the watermark has passed it. Rows of one key stand in
+    state by their millisecond, so that a timer reads only what is due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, side int, id long, value double")
-        self.last = handle.getValueState("last", "us long, value double")
+        self.rows = handle.getMapState("rows", "ms long", "rows array<struct<us: long, side: int, tie: long, id: long, value: double>>")
+        self.last = handle.getValueState("last", "us long, tie long, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
+        new: dict[int, list[tuple]] = {}
         for pdf in rows:
-            new = list(zip(pdf["us"].tolist(), pdf["side"].tolist(), pdf["id"].tolist(), pdf["value"].astype(float).tolist()))
-            self.rows.appendList([tuple(x) for x in new])
-        self.handle.registerTimer(max(mark, 0) + 1)
+            for us, side, tie, id_, value in zip(pdf["us"].tolist(), pdf["side"].tolist(), pdf["tie"].tolist(), pdf["id"].tolist(), pdf["value"].tolist()):
+                new.setdefault(us // 1000, []).append((us, side, tie, id_, None if value is None or value != value else float(value)))
+        for ms, some in new.items():
+            held = [tuple(x) for x in self.rows.getValue((ms,))[0]] if self.rows.containsKey((ms,)) else []
+            self.rows.updateValue((ms,), (held + some,))
+            self.handle.registerTimer(max(ms + 1, mark + 1))
         yield pd.DataFrame({"id": [], "us": [], "value": []}).astype({"id": "int64", "us": "int64", "value": "float64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(x) for x in self.rows.get())
-        last = self.last.get() if self.last.exists() else None
-        value = last[1] if last else None
-        us, out = last[0] if last else 0, []
-        keep = [x for x in held if x[0] > mark]
-        for t, side, id_, v in held:
-            if t > mark:
-                continue
-            if side == 0:
-                us, value = t, v
-            else:
-                out.append((id_, t, value))
-        if value is not None:
-            self.last.update((us, value))
-        self.rows.clear()
-        if keep:
-            self.rows.put(keep)
-            self.handle.registerTimer(int(min(x[0] for x in keep) // 1000 + 1))
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        times = sorted(k[0] for k in self.rows.keys() if k[0] < due)
+        last = tuple(self.last.get()) if self.last.exists() else None
+        out = []
+        for ms in times:
+            for us, side, tie, id_, value in sorted((tuple(x) for x in self.rows.getValue((ms,))[0]), key=lambda x: x[:3]):
+                if side == 0:
+                    last = max(last, (us, tie, value), key=lambda x: x[:2]) if last else (us, tie, value)
+                else:
+                    out.append((id_, us, last[2] if last else None))
+            self.rows.removeKey((ms,))
+        if last:
+            self.last.update(last)
         yield pd.DataFrame(out, columns=["id", "us", "value"]).astype({"id": "int64", "us": "int64", "value": "float64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_asof(left: DataFrame, right: DataFrame, key: str, stamp: str, id_: str, value: str, late: str = "10 minutes") -> DataFrame:
+def stream_asof(left: DataFrame, right: DataFrame, key: str, stamp: str, id_: str, value: str, order: str, late: str = "10 minutes") -> DataFrame:
     """Each left row's ``id_`` and time with the last right ``value`` of the same key at or before it, emitted
-    when the watermark has passed the row. Needs the RocksDB state store."""
+    when the watermark has passed the row; of right rows of equal time the last by ``order`` counts, as in
+    the batch join. A null or NaN value counts as a value and comes out as null. Needs the RocksDB state store."""
     def side(df: DataFrame, n: int) -> DataFrame:
         t = F.col(stamp).cast("timestamp")
-        return df.select(F.col(key).alias("k"), t.alias("t"), F.unix_micros(t).alias("us"), F.lit(n).alias("side"), (F.col(id_) if n else F.lit(0)).cast("bigint").alias("id"), (F.lit(None) if n else F.col(value)).cast("double").alias("value"))
+        return df.select(F.col(key).alias("k"), t.alias("t"), F.unix_micros(t).alias("us"), F.lit(n).alias("side"), F.col(id_ if n else order).cast("bigint").alias("tie"), (F.col(id_) if n else F.lit(0)).cast("bigint").alias("id"), (F.lit(None) if n else F.col(value)).cast("double").alias("value"))
 
     both = side(left, 1).unionByName(side(right, 0)).withWatermark("t", late)
-    return both.groupBy("k").transformWithStateInPandas(LastBefore(), "id long, us long, value double", "Append", "EventTime")
+    out = both.groupBy("k").transformWithStateInPandas(LastBefore(), ANSWER, "Append", "EventTime")
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

@@ -51,7 +51,7 @@ def test_distinct_and_upsert(spark, feed, tmp_path):
     for _ in range(2):  # the second run meets the table of the first
         q = stream.drop("arrived_at").writeStream.foreachBatch(streams.upsert_into(path, ["k"], "id")).option("checkpointLocation", S.scratch(spark)).trigger(availableNow=True).start()
         q.awaitTermination()
-    assert rows(spark.read.parquet(path), "k", "id") == [("a", 900), ("b", 901)]
+    assert rows(streams.upserted(spark, path), "k", "id") == [("a", 900), ("b", 901)]
 
 
 def test_asof_on_streams(spark, feed):
@@ -59,8 +59,26 @@ def test_asof_on_streams(spark, feed):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        got = run(streams.stream_asof(stream.filter("id % 3 = 0 or id >= 900"), stream.filter("id % 3 = 1 or id >= 900"), "k", "t", "id", "v", "1 minute"), spark)
+        got = run(streams.stream_asof(stream.filter("id % 3 = 0 or id >= 900"), stream.filter("id % 3 = 1 or id >= 900"), "k", "t", "id", "v", "id", "1 minute"), spark)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     want = asof_join(data.filter("id % 3 = 0").select("id", "k", "t"), data.filter("id % 3 = 1").select("k", "t", "v"), "k", "t")
     assert rows(got.filter("id < 900"), "id", "value") == rows(want, "id", "v")
+
+
+def test_asof_ties_and_nulls(spark, tmp_path):
+    """Right rows of equal time count by their order, null values are values; over several batches with late rows."""
+    rng, t0 = random.Random(5), datetime(2021, 1, 1)
+    data = [(i, rng.choice("ab"), t0 + timedelta(seconds=20 * (i // 4) + rng.choice([0, 0, -30])), rng.choice([None, float(i), -float(i)])) for i in range(120)]
+    for n in range(4):
+        spark.createDataFrame(data[30 * n:30 * n + 30], KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(900, "a", datetime(2021, 3, 1), 0.0), (901, "b", datetime(2021, 3, 1), 0.0)], KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, whole = streams.ticks(spark, str(tmp_path / "in"), spark.createDataFrame([], KIND).schema, 1), spark.createDataFrame(data, KIND)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(streams.stream_asof(stream.filter("id % 2 = 0 or id >= 900"), stream.filter("id % 2 = 1 or id >= 900"), "k", "t", "id", "v", "id", "2 minutes"), spark)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    want = asof_join(whole.filter("id % 2 = 0").select("id", "k", "t"), whole.filter("id % 2 = 1").select("k", "t", "v", F.col("id").alias("o")), "k", "t", "o")
+    assert rows(got.filter("id < 900"), "id", "value") == rows(want, "id", "v")
