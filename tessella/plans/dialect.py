@@ -13,8 +13,11 @@ given as variables.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,8 @@ from tessella.functions import maths as M
 from tessella.functions import text, times, values
 from tessella.functions import windows as N
 from tessella.operators import tables
+from tessella.operators.moving import running_sum, windowed
+from tessella.operators.ranges import largest_group
 from tessella.schema import uncollide
 
 TOKEN = re.compile(r"""\s*(?:
@@ -48,11 +53,15 @@ AGGREGATES = {
     "count": lambda x, o: A.count(), "len": lambda x, o: A.count(), "sum": lambda x, o: A.sum_(x), "avg": lambda x, o: A.avg(x), "min": lambda x, o: A.min_(x), "max": lambda x, o: A.max_(x), "std": lambda x, o: A.std(x), "var": lambda x, o: A.var(x),
     "median": lambda x, o: A.median(x), "first": lambda x, o: A.first(x, o), "last": lambda x, o: A.last(x, o), "count_null": lambda x, o: A.count_null(x), "count_nonnull": lambda x, o: A.count_nonnull(x),
 }
-#: Moving functions by name, as functions of their arguments and a window.
+#: Moving functions by name: a function of their arguments and a window, and how far they look (negative: ahead).
 MOVING = {
-    "msum": lambda a, w: N.msum(_whole(a[0]), a[1].column, w), "mavg": lambda a, w: N.mavg(_whole(a[0]), a[1].column, w), "mmax": lambda a, w: N.mmax(_whole(a[0]), a[1].column, w), "mmin": lambda a, w: N.mmin(_whole(a[0]), a[1].column, w), "mcount": lambda a, w: N.mcount(_whole(a[0]), a[1].column, w),
-    "rsum": lambda a, w: N.rsum(a[0].column, w), "shift": lambda a, w: N.shift(_whole(a[0]), a[1].column, w, a[2].plain if len(a) > 2 else None), "deltas": lambda a, w: N.mapback(M.minus, a[0].column, w),
+    "msum": (lambda a, w: N.msum(_whole(a[0]), a[1].column, w), lambda a: _whole(a[0]) - 1), "mavg": (lambda a, w: N.mavg(_whole(a[0]), a[1].column, w), lambda a: _whole(a[0]) - 1),
+    "mmax": (lambda a, w: N.mmax(_whole(a[0]), a[1].column, w), lambda a: _whole(a[0]) - 1), "mmin": (lambda a, w: N.mmin(_whole(a[0]), a[1].column, w), lambda a: _whole(a[0]) - 1),
+    "mcount": (lambda a, w: N.mcount(_whole(a[0]), a[1].column, w), lambda a: _whole(a[0]) - 1), "shift": (lambda a, w: N.shift(_whole(a[0]), a[1].column, w, a[2].plain if len(a) > 2 else None), lambda a: _whole(a[0])),
+    "deltas": (lambda a, w: N.mapback(M.minus, a[0].column, w), lambda a: 1), "rsum": (lambda a, w: N.rsum(a[0].column, w), lambda a: None),
 }
+#: Rows of a group up to which it is one task's work.
+MOST = 2_000_000
 SCALARS = {
     "abs": M.absolute, "sqrt": M.sqrt, "exp": M.exp, "pow": M.power, "ln": M.ln, "log": M.log, "lg": M.lg, "floor": M.floor, "ceil": M.ceil, "sin": M.sin, "cos": M.cos, "tan": M.tan, "asin": M.asin, "acos": M.acos, "atan": M.atan, "sinh": M.sinh, "cosh": M.cosh, "tanh": M.tanh, "erf": M.erf, "erfc": M.erfc,
     "negate": M.negate, "not": C.not_, "mins": C.mins, "maxes": C.maxes, "between": lambda x, lo, hi: C.between(x, lo, hi), "tolower": text.tolower, "toupper": text.toupper, "trim": text.trim, "string": text.string, "float": text.float_, "int": text.int_, "parse_int": text.parse_int, "parse_float": text.parse_float,
@@ -77,6 +86,7 @@ class Value:
     aggregates: list[tuple[str, Column]] = field(default_factory=list)
     bare: bool = False
     many: list[Value] | None = None
+    depth: int = 0
 
 
 def _whole(v: Value) -> int:
@@ -85,6 +95,53 @@ def _whole(v: Value) -> int:
     return v.plain
 
 
+class Steps:
+    """Columns that an expression needs of whole groups, or of the table: aggregates repeated on each row, and
+    moving functions, by how deep they stand in each other. ``add`` gives the column that ``apply`` makes.
+
+    Aggregates are taken by group and joined back; moving functions run over windows of the group, or
+    over ranges, if there is no group or one has more than ``MOST`` rows."""
+
+    def __init__(self, keys: list[str], order: list[str]):
+        self.keys, self.order, self.moving, self.aggregates = keys, order, {}, {}
+        self.tag = f"_s{next(_TAGS)}_"
+
+    def aggregate(self, c: Column) -> Column:
+        name = f"{self.tag}a{len(self.aggregates)}"
+        self.aggregates[name] = c
+        return F.col(name)
+
+    def add(self, depth: int, function: Callable, look: int | None, value: Column) -> Column:
+        level = self.moving.setdefault(depth, {})
+        name = f"{self.tag}m{depth}_{len(level)}"
+        level[name] = function, look, value
+        return F.col(name)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.aggregates:
+            g = df.groupBy(*[F.col(k).alias(f"{self.tag}k{i}") for i, k in enumerate(self.keys)]).agg(*[c.alias(n) for n, c in self.aggregates.items()])
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{self.tag}k{i}")) for i, k in enumerate(self.keys)])
+            df = df.join(g, same, "left").drop(*[f"{self.tag}k{i}" for i in range(len(self.keys))])
+        if self.moving:
+            small = bool(self.keys) and largest_group(df, self.keys) <= MOST
+        for _, level in sorted(self.moving.items()):
+            if small:
+                w = W.partitionBy(*self.keys).orderBy(*self.order)
+                df = df.withColumns({n: f(w) for n, (f, _, _) in level.items()})
+                continue
+            near = {n: x for n, x in level.items() if x[1] is not None}
+            if near:
+                looks = [look for _, look, _ in near.values()]
+                df = windowed(df, self.order, self.keys, {n: f for n, (f, _, _) in near.items()}, max(0, *looks, 0), max(0, *[-x for x in looks], 0))
+            for n, (_, look, value) in level.items():
+                if look is None:
+                    df = running_sum(df.withColumn(f"{n}v", value), f"{n}v", self.order, self.keys, n).drop(f"{n}v")
+        return df
+
+
+_TAGS = count()
+
+
 class Parser:
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str]] = []
@@ -367,7 +424,7 @@ class Engine:
             out = df.groupBy(*[v.column.alias(f"_k{i}") for i, (v, _) in enumerate(keys)]).agg(*[v.column.alias(f"_a{i}") for i, (v, _) in enumerate(cols)])
             out = out.toDF(*names)
         else:
-            tr = Translator(self, df, order, window=W.partitionBy(F.lit(1)).orderBy(*order) if order else None)
+            tr = Translator(self, df, order, steps=Steps([], order) if order else None)
             flat: list[tuple[Value, str | None]] = []
             for e, name in q["columns"]:
                 flat += [(tr(("name", c)), None) for c in df.columns] if e == ("star",) else [(tr(e), name)]
@@ -376,11 +433,11 @@ class Engine:
                 out = df.agg(*[v.column.alias(n) for (v, _), n in zip(flat, names)])
             else:
                 # aggregates next to plain columns are computed first and repeated on every row
-                tr = Translator(self, df, order, scalar=True, window=tr.window)
+                tr = Translator(self, df, order, scalar=True, steps=Steps([], order) if order else None)
                 again = []
                 for e, name in q["columns"]:
                     again += [tr(("name", c)) for c in df.columns] if e == ("star",) else [tr(e)]
-                out = df.select(*[v.column.alias(n) for v, n in zip(again, names)])
+                out = (tr.steps.apply(df) if tr.steps else df).select(*[v.column.alias(n) for v, n in zip(again, names)])
         if "order" in q:
             try:
                 out = out.orderBy(*self.sorting(out, q["order"]))
@@ -409,13 +466,10 @@ class Engine:
             if cond is not None and name not in df.columns:
                 raise DialectError(f"a restricted update can't add column {name!r}")
             part = ["_hit", *keys] if cond is not None else keys
-            over = W.partitionBy(*part) if part else None
-            if keys:
-                value = Translator(self, df, order, over=over, window=over.orderBy(*order) if order else None)(e).column
-            else:
-                seen = df.filter("_hit") if cond is not None else df
-                value = Translator(self, seen, order, scalar=True, window=(over or W.partitionBy(F.lit(1))).orderBy(*order) if order else None)(e).column
-            df = df.withColumn(name, value if cond is None else F.when(F.col("_hit"), value).otherwise(F.col(name)))
+            steps, kept = Steps(part, order), list(dict.fromkeys([*df.columns, name]))
+            seen = df.filter("_hit") if cond is not None and not keys else df
+            value = Translator(self, seen, order, scalar=not keys, grouped=bool(keys), steps=steps)(e).column
+            df = steps.apply(df).withColumn(name, value if cond is None else F.when(F.col("_hit"), value).otherwise(F.col(name))).select(*kept)
         return df.drop("_hit", *keys)
 
     def delete(self, q: dict) -> DataFrame:
@@ -447,10 +501,28 @@ class Engine:
                 for r in numbered[1:]:
                     new = new.unionByName(r)
                 return tables.upsert(df, new, q["conflict"], "_n", order[0] if order else None)
-            return tables.upsert(df, new.select(*df.columns), q["conflict"], order[0] if order else None, order[0] if order else None)
+            if not order:
+                raise DialectError("on conflict needs the table's order, or rows as values")
+            return tables.upsert(df, new.select(*df.columns), q["conflict"], order[0], order[0])
         return tables.insert(df, new, list(cols) if q["columns"] else None)
 
 
+def eval_(spark: SparkSession, text_: str, tables_: Mapping[str, DataFrame] | None = None, **variables):
+    """The value of an expression, or the table of a statement, in the query language. The text can do no
+    more than the language: it reads the tables and variables given."""
+    e = Engine(spark, variables=variables)
+    for name, df in (tables_ or {}).items():
+        e.add(name, df)
+    if re.match(r"\s*(select|insert|update|delete)\b", text_, re.I):
+        return e.run(text_)
+    p = Parser(text_)
+    tree = p.expression()
+    if p.more():
+        raise DialectError(f"unexpected {p.tokens[p.at][1]!r}")
+    row = spark.range(1)
+    return row.select(Translator(e, row, [])(tree).column.alias("x")).first()[0]
+
+
 def truth(df: DataFrame, c: Column) -> Column:
     """A condition: whole numbers count as true unless 0."""
     kind = df.limit(0).select(c.alias("c")).schema[0].dataType.typeName()
@@ -458,11 +530,11 @@ def truth(df: DataFrame, c: Column) -> Column:
 
 
 class Translator:
-    """Expression trees to columns. Aggregates become aggregate columns (default), windows over a group
-    (``over``), or values computed beforehand over the rows at hand (``scalar``)."""
+    """Expression trees to columns. Aggregates become aggregate columns (default), values of a group on each
+    of its rows (``grouped``), or subqueries over the rows at hand (``scalar``)."""
 
-    def __init__(self, engine: Engine, df: DataFrame, order: list[str], scalar: bool = False, over=None, window=None):
-        self.engine, self.df, self.order, self.scalar, self.over, self.window = engine, df, order, scalar, over, window
+    def __init__(self, engine: Engine, df: DataFrame, order: list[str], scalar: bool = False, grouped: bool = False, steps: Steps | None = None):
+        self.engine, self.df, self.order, self.scalar, self.grouped, self.steps = engine, df, order, scalar, grouped, steps
 
     def __call__(self, e: tuple) -> Value:
         return getattr(self, "_" + e[0])(*e[1:])
@@ -522,7 +594,7 @@ class Translator:
     def _unary(self, op: str, e: tuple) -> Value:
         v = self(e)
         f = M.negate if op == "-" else C.not_
-        return Value(f(v.column), -v.plain if op == "-" and isinstance(v.plain, (int, float)) else None, v.name, aggregates=v.aggregates, bare=v.bare)
+        return Value(f(v.column), -v.plain if op == "-" and isinstance(v.plain, (int, float)) else None, v.name, aggregates=v.aggregates, bare=v.bare, depth=v.depth)
 
     def _index(self, e: tuple, i: tuple) -> Value:
         """A field of a stamp, ``t['year']``, or an element of a list."""
@@ -530,8 +602,8 @@ class Translator:
         if isinstance(key.plain, str):
             if key.plain not in FIELDS:
                 raise DialectError(f"no field {key.plain!r}")
-            return Value(times.field(key.plain, v.column), None, v.name, aggregates=v.aggregates, bare=v.bare)
-        return Value(F.get(v.column, key.column.cast("int")), None, v.name, aggregates=v.aggregates, bare=v.bare)
+            return Value(times.field(key.plain, v.column), None, v.name, aggregates=v.aggregates, bare=v.bare, depth=v.depth)
+        return Value(F.get(v.column, key.column.cast("int")), None, v.name, aggregates=v.aggregates, bare=v.bare, depth=v.depth)
 
     def one(self, v: Value) -> Value:
         """A subselect's single value, found when the statement runs; more than one row is an error then, and
@@ -540,7 +612,7 @@ class Translator:
 
     def _binary(self, op: str, a: tuple, b: tuple) -> Value:
         x, y = self.one(self(a)), self.one(self(b))
-        more = dict(aggregates=x.aggregates + y.aggregates, bare=x.bare or y.bare)
+        more = dict(aggregates=x.aggregates + y.aggregates, bare=x.bare or y.bare, depth=max(x.depth, y.depth))
         name = x.name if x.plain is None else y.name
         if y.relative or x.relative:
             if op in ("+", "-") and y.relative:
@@ -567,9 +639,9 @@ class Translator:
         if isinstance(y.plain, DataFrame):
             # a subselect of any length: a semi join, with null equal to null
             some = y.plain.toDF("_in").alias("_some")  # the alias hides the subselect's own columns
-            return Value(some.filter(F.col("_in").eqNullSafe(x.column.outer())).exists(), None, x.name, aggregates=x.aggregates, bare=x.bare)
+            return Value(some.filter(F.col("_in").eqNullSafe(x.column.outer())).exists(), None, x.name, aggregates=x.aggregates, bare=x.bare, depth=x.depth)
         items = y.many if y.many is not None else [y]
-        return Value(C.in_(x.column, [i.plain for i in items]), None, x.name, aggregates=x.aggregates, bare=x.bare)
+        return Value(C.in_(x.column, [i.plain for i in items]), None, x.name, aggregates=x.aggregates, bare=x.bare, depth=x.depth)
 
     def _call(self, name: str, args: list[tuple]) -> Value:
         low = name.lower()
@@ -581,17 +653,18 @@ class Translator:
             if low in ("first", "last") and not self.order:
                 raise DialectError(f"{low} needs the table's order")
             c = AGGREGATES[low](got[0].column, F.struct(*self.order) if self.order else None)
-            if self.over is not None:
-                # an empty sum is 0, which has to stand outside the window
-                return Value(F.coalesce(F.sum(C.clean(got[0].column)).over(self.over), F.lit(0)) if low == "sum" else c.over(self.over), None, column)
+            if self.grouped:
+                return Value(self.steps.aggregate(c), None, column)
             if self.scalar:
                 return Value(self.df.agg(c).scalar(), None, column, aggregates=[(low, c)])
             return Value(c, None, column, aggregates=[(low, c)])
         bare, aggs = any(v.bare for v in got), [x for v in got for x in v.aggregates]
         if low in MOVING:
-            if self.window is None:
+            if self.steps is None or not self.order:
                 raise DialectError(f"{low} needs the table's order, and can't stand in a grouped select")
-            return Value(MOVING[low](got, self.window), None, column, bare=True)
+            f, look = MOVING[low]
+            depth = 1 + max(v.depth for v in got)
+            return Value(self.steps.add(depth, lambda w: f(got, w), look(got), got[0].column), None, column, bare=True, depth=depth)
         if low == "bars":
             if got[0].relative:
                 origin = got[2].column if len(got) > 2 else self.df.agg(F.min_by(got[1].column, F.struct(*self.order))).scalar() if self.order else None
@@ -604,4 +677,4 @@ class Translator:
         if low not in SCALARS:
             raise DialectError(f"no function {name!r}")
         plain = [v.column if v.plain is None or low not in ("parse_int",) or i == 0 else v.plain for i, v in enumerate(got)]
-        return Value(SCALARS[low](*plain), None, column, aggregates=aggs, bare=bare)
+        return Value(SCALARS[low](*plain), None, column, aggregates=aggs, bare=bare, depth=max([v.depth for v in got], default=0))
