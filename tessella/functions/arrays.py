@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -183,40 +184,50 @@ def implode_with(x, arr) -> Column:
     return F.flatten(F.transform(a, lambda e, i: F.when(i == 0, e).otherwise(F.concat(F.array(as_col(x)), e))))
 
 
-# combinatorics: results grow beyond any expression, so they are made per row in Python
+# combinatorics: pairs and triples are expressions; results that grow beyond that are made in Arrow batches,
+# for lists whose result has at most MOST_RESULTS lists
 
+MOST_RESULTS = 1_000_000
 
-def _python(kind: str, f):
-    return F.udf(f, kind)
+
+def _python(kind: str, f, size):
+    def run(a):
+        if a is None:
+            return None
+        if size(len(a)) > MOST_RESULTS:
+            raise ValueError(f"more than {MOST_RESULTS} lists from {len(a)} elements")
+        return f(a)
+
+    return F.udf(run, kind, useArrow=True)
+
+
+def _once(lists, repeats: bool) -> list:
+    return [list(c) for c in (lists if repeats else dict.fromkeys(lists))]
 
 
 def powerset(arr, kind: str = "bigint") -> Column:
     """All sublists, shortest first."""
-    return _python(f"array<array<{kind}>>", lambda a: None if a is None else [list(c) for n in range(len(a) + 1) for c in itertools.combinations(a, n)])(as_col(arr))
+    return _python(f"array<array<{kind}>>", lambda a: [list(c) for n in range(len(a) + 1) for c in itertools.combinations(a, n)], lambda n: 2**n)(as_col(arr))
 
 
 def combinations(arr, n: int, repeats: bool = False, kind: str = "bigint") -> Column:
-    """Sublists of n elements; equal ones once, unless ``repeats``."""
-
-    def run(a):
-        if a is None:
-            return None
-        all_ = [list(c) for c in itertools.combinations(a, n)]
-        return all_ if repeats else [list(c) for c in dict.fromkeys(map(tuple, all_))]
+    """Sublists of n elements in the order of their places; equal ones once, unless ``repeats``."""
+    a = as_col(arr)
+    if n in (1, 2, 3):
+        def after(place, k):  # lists of k elements from places behind
+            rest = F.transform(F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["i"] > place), lambda e: e)
+            if k == 1:
+                return F.transform(rest, lambda e: F.array(e["x"]))
+            return F.flatten(F.transform(rest, lambda e: F.transform(after(e["i"], k - 1), lambda tail: F.concat(F.array(e["x"]), tail))))
 
-    return _python(f"array<array<{kind}>>", run)(as_col(arr))
+        out = after(F.lit(-1), n)
+        return out if repeats else F.array_distinct(out)
+    return _python(f"array<array<{kind}>>", lambda x: _once(itertools.combinations(x, n), repeats), lambda m: math.comb(m, n))(a)
 
 
 def permutations(arr, repeats: bool = False, kind: str = "bigint") -> Column:
     """All orders; equal ones once, unless ``repeats``."""
-
-    def run(a):
-        if a is None:
-            return None
-        all_ = list(itertools.permutations(a))
-        return [list(c) for c in (all_ if repeats else dict.fromkeys(all_))]
-
-    return _python(f"array<array<{kind}>>", run)(as_col(arr))
+    return _python(f"array<array<{kind}>>", lambda a: _once(itertools.permutations(a), repeats), math.factorial)(as_col(arr))
 
 
 # adverbs
@@ -233,6 +244,36 @@ def unfold(f, arr, kind: str = "bigint") -> Column:
     return F.aggregate(a, F.array().cast(f"array<{kind}>"), step)
 
 
+def _times(f, x, n: int, keep: bool) -> Column:
+    start = F.array(as_col(x))
+    step = lambda s, _: F.concat(s if keep else F.slice(s, 1, 0), F.array(f(F.try_element_at(s, F.lit(-1)))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step) if n > 0 else start
+
+
+def repeat_times(f, n: int, x) -> Column:
+    """``f`` applied n times to a value."""
+    return F.try_element_at(_times(f, x, n, False), F.lit(-1))
+
+
+def unfold_times(f, n: int, x) -> Column:
+    """The value and the results of applying ``f`` once, twice, ... n times."""
+    return _times(f, x, n, True)
+
+
+def converge(f, x, most: int = 100) -> Column:
+    """``f`` applied until the value no longer changes; an error if it still does after ``most`` times."""
+    return F.try_element_at(reconverge(f, x, most), F.lit(-1))
+
+
+def reconverge(f, x, most: int = 100) -> Column:
+    """The value and the results on the way to the fixpoint, which comes last."""
+    same = lambda s: F.get(s, F.size(s) - 1).eqNullSafe(F.get(s, F.size(s) - 2))
+    grow = lambda s, _: F.when((F.size(s) > 1) & same(s), s).otherwise(F.concat(s, F.array(f(F.try_element_at(s, F.lit(-1))))))
+    out = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(as_col(x)), grow)
+    failed = F.raise_error(F.lit(f"no fixpoint after {most} times"))
+    return F.when(same(out), F.slice(out, 1, F.size(out) - 1)).otherwise(failed)
+
+
 def mapdown(f, arr, other=None) -> Column:
     """``f`` of each element, or of each pair of two lists."""
     return F.transform(as_col(arr), f) if other is None else F.zip_with(as_col(arr), as_col(other), f)

@@ -117,8 +117,22 @@ def from_json(s, schema: str | None = None) -> Column:
     return F.from_json(as_col(s), schema) if schema else F.try_parse_json(as_col(s))
 
 
-def to_json(x) -> Column:
-    return F.to_json(as_col(x))
+def to_json(x, mark: str | None = None) -> Column:
+    """JSON of a struct, map or list. With ``mark``, which has letters and ``_`` only, stamps have it before
+    their text, so that a reader that knows it can tell them from strings."""
+    c = as_col(x)
+    if mark is None:
+        return F.to_json(c)
+    if not re.fullmatch("[A-Za-z_]+", mark):
+        raise ValueError("a mark has letters and _ only")
+    shape = f"'{mark}'yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return F.to_json(c, {"timestampNTZFormat": shape, "timestampFormat": shape})
+
+
+def stamp_of(s, mark: str) -> Column:
+    """The stamp of a JSON text with the mark; others give null."""
+    s = as_col(s)
+    return F.when(s.startswith(mark), F.substring(s, len(mark) + 1, 2**31 - 1).try_cast("timestamp_ntz"))
 
 
 uneval = rep = to_json

@@ -198,6 +198,13 @@ def stamp(s) -> Column:
     return as_col(s).try_cast("timestamp_ntz")
 
 
+def kind(t) -> Column:
+    """How a stamp shows by default: ``time`` within the first day of 1970, ``date`` at midnight, else ``datetime``;
+    null for null."""
+    n = us(t)
+    return F.when(n.isNull(), None).when((n >= 0) & (n < UNIT_US["d"]) & (n != 0), "time").when(F.pmod(n, F.lit(UNIT_US["d"])) == 0, "date").otherwise("datetime")
+
+
 def now() -> Column:
     return F.localtimestamp()
 

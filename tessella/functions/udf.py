@@ -29,7 +29,7 @@ def aggregate(f: Callable[..., object], kind: str) -> Callable[..., Column]:
     return F.pandas_udf(run, kind, F.PandasUDFType.GROUPED_AGG)
 
 
-def table(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def table_function(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A function from a group's table to a table."""
     return df.groupBy(*keys).applyInPandas(f, schema)
 

@@ -26,6 +26,22 @@ def type_name(x) -> Column:
     return F.typeof(as_col(x))
 
 
+# The numbers of the kinds of atoms (whole number, number, stamp), negative for lists of them;
+# text is a list of characters, -1; then null, other lists, maps, tables.
+ATOMS = {"bigint": 2, "int": 2, "smallint": 2, "tinyint": 2, "boolean": 2, "double": 3, "float": 3, "decimal": 3, "timestamp_ntz": 4, "timestamp": 4, "date": 4}
+TEXT, NULL, LIST, MAP, TABLE = -1, 5, 6, 7, 10
+
+
+def type_code(x) -> Column:
+    """The number of a value's kind."""
+    name = F.regexp_replace(F.typeof(as_col(x)), r"\([0-9,]*\)", "")
+    inner = F.regexp_extract(name, r"^array<(.*)>$", 1)
+    table = F.create_map(*[F.lit(y) for kv in ATOMS.items() for y in kv])
+    atom_of = lambda c: F.try_element_at(table, c)
+    return (F.when(name == "string", TEXT).when(name == "void", NULL).when(inner != "", F.coalesce(-atom_of(inner), F.lit(LIST)))
+            .when(name.rlike("^(map|struct|variant)"), MAP).otherwise(atom_of(name)))
+
+
 def atom(df: DataFrame, name: str) -> bool:
     """Whether a column holds single values rather than lists."""
     return df.schema[name].dataType.typeName() not in ("array", "map", "struct")

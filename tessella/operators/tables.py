@@ -93,6 +93,13 @@ def distinct(df: DataFrame, cols: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.min(order).alias("_first")).orderBy("_first").drop("_first")
 
 
+def pieces(df: DataFrame, cuts: Sequence[int], order: Sequence[str], name: str = "piece") -> DataFrame:
+    """``df`` with the number of the piece each row falls in when the table is cut before the given places."""
+    ranked = with_rank(df, order, "_rank")
+    piece = sum(((F.col("_rank") >= c).cast("int") for c in cuts), F.lit(0))
+    return ranked.withColumn(name, piece).drop("_rank")
+
+
 def part(df: DataFrame, col: str, order: str) -> DataFrame:
     """``(col, places)``: each value's row ids in order, as an array (bounded groups only)."""
     return df.groupBy(col).agg(F.sort_array(F.collect_list(order)).alias("places"))
@@ -164,16 +171,16 @@ def insert(df: DataFrame, new: DataFrame, columns: Sequence[str] | None = None)
     return df.unionByName(new, allowMissingColumns=True)
 
 
-def upsert(df: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None, left_order: str | None = None) -> DataFrame:
+def upsert(df: DataFrame, new: DataFrame, keys: Sequence[str], order: str, left_order: str | None = None) -> DataFrame:
     """``df`` with each new row replacing the row of equal keys, or added.
 
     Of several new rows for a present key the last (by ``order``) counts. New rows of absent keys are
     all added. Where ``df`` has several rows of a key, the first (by ``left_order``) is replaced, or all
     of them without an order. Keys are equal where both are null."""
     cols = df.columns
-    new = new.select(*cols, *([order] if order and order not in cols else []))
+    new = new.select(*cols, *([order] if order not in cols else []))
     new_rest = F.struct(*cols)
-    last = new.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg((F.max_by(new_rest, order) if order else F.any_value(new_rest)).alias("_new"))
+    last = new.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by(new_rest, order).alias("_new"))
     left = df
     first = F.lit(True)
     if left_order:
@@ -221,6 +228,10 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
     return df.filter(~F.coalesce(where, F.lit(False)))
 
 
+def has_column(df: DataFrame, name: str) -> bool:
+    return name in df.columns
+
+
 def delete_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*names)
 
@@ -238,7 +249,8 @@ def table(spark: SparkSession, names: Sequence[str], columns: Sequence[Sequence]
 
 
 def extract(df: DataFrame, most: int = 1_000_000):
-    """A small result as Python values: one value, the list of one column or row, or a list of columns."""
+    """A small result as Python values: one value, the list of one column or row, or a list of columns.
+    More than ``most`` rows are an error: they belong in a table."""
     rows = df.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")

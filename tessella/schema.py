@@ -55,6 +55,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in kinds else F.col(c) for c, t in df.dtypes])
 
 
-def meta_table(df: DataFrame) -> DataFrame:
-    """Name and type of each column."""
-    return df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "name string, type string")
+def meta_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``(name, type, sorted, on_disk)`` of each column: whether it leads the order the plan knows of, and
+    whether the table reads stored files (``path``, if that is what is asked of)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    order = plan.outputOrdering()
+    first = order.apply(0).child().toString().split("#")[0] if order.size() else None
+    disk = bool(path) or bool(df.inputFiles())
+    return df.sparkSession.createDataFrame([(c, t, c == first, disk) for c, t in df.dtypes], "name string, type string, sorted boolean, on_disk boolean")

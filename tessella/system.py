@@ -141,20 +141,22 @@ def compressed(df: DataFrame, **kinds: str) -> DataFrame:
 
 # lookup
 
-MODULES = ("functions.compare", "functions.maths", "functions.aggregates", "functions.windows", "functions.arrays", "functions.text", "functions.times", "functions.values", "functions.linalg", "functions.udf", "operators.tables", "operators.joins", "operators.ranges", "operators.atlas", "sources.delimited", "sources.store", "system", "schema")
+MODULES = ("functions.compare", "functions.maths", "functions.aggregates", "functions.windows", "functions.arrays", "functions.text", "functions.times", "functions.values", "functions.linalg", "functions.udf", "operators.tables", "operators.joins", "operators.ranges", "operators.atlas", "sources.delimited", "sources.store", "system", "schema", "plans.dialect")
 #: Verbs whose function has another name than the verb itself (or the verb with an underscore).
 OTHER = {
     "abs": "absolute", "pow": "power", "left_join": "left_join", "unite": "union", "match": "match", "part": "part", "explode": "explode", "json": "to_json", "type": "type_name", "null_type": "type_null", "until": "range_", "enumerate": "enumerate_",
     "read_table_from_csv": "read_csv", "read_table_from_tsv": "read_tsv", "read_table_from_delimited_file": "read_delimited", "read_table_from_fixed_file": "read_fixed", "create_table_from_csv": "create_table", "create_table_from_tsv": "create_table", "create_table_from_psv": "create_table",
     "append_table_from_csv": "append_table", "append_table_from_tsv": "append_table", "append_table_from_psv": "append_table", "create_table_from_fixed_file": "create_table_fixed", "append_table_from_fixed_file": "append_table_fixed", "write_csv_from_table": "write_delimited", "write_delimited_file_from_table": "write_delimited",
-    "read_from_path": "read_table", "write_to_path": "write_table", "open_table": "read_table", "read_striped_from_path": "read_table", "write_striped_to_path": "write_table", "read_parceled_from_path": "read_table", "load": "run_script", "run": "run_script",
-    "count_rows": "count", "len": "count", "ifnull": "isnull", "xkeys": "keys", "xvals": "vals", "has_column": "has_key", "zip": "zip_text", "unzip": "unzip_text", "open_socket": "connect", "close_socket": "close", "dlload": "register_java", "emu_debug_mode": "debug", "seed_prng": "rand", "extract": "extract", "uneval": "to_json", "rep": "to_json",
-    "reduce": "fold", "converge": "fold", "refold": "unfold", "reconverge": "unfold", "mapcores": "parallel", "ident": "identity", "global": "identity", "subtract": "minus", "add": "plus", "negative": "negate", "equal": "equals", "eval": "run_script",
+    "read_from_path": "read_table", "write_to_path": "write_table", "open_table": "read_table", "read_striped_from_path": "read_table", "write_striped_to_path": "write_table", "read_parceled_from_path": "read_table", "load": "run_script", "run": "run_script", "split": "split_at", 
+    "count_rows": "count", "len": "count", "ifnull": "isnull", "xkeys": "keys", "xvals": "vals", "zip": "zip_text", "unzip": "unzip_text", "open_socket": "connect", "close_socket": "close", "dlload": "register_java", "emu_debug_mode": "debug", "seed_prng": "rand", "extract": "extract", "uneval": "to_json", "rep": "to_json",
+    "reduce": "fold", "refold": "unfold", "rereduce": "unfold", "deconverge": "reconverge", "globals": "identity", "mapcores": "parallel", "ident": "identity", "global": "identity", "subtract": "minus", "add": "plus", "negative": "negate", "equal": "equals", 
 }
 
 
 def find(verb: str) -> Callable:
-    """The function of a verb: by its name in the modules' order, else by another name it has here."""
+    """The function of a verb: by its name in the modules' order, else by another name it has here. Verbs of
+    kinds (``..._type`` and ``..._type_name``) go by their endings."""
+    verb = "type_code" if verb.endswith("_type") and verb != "null_type" else "type_name" if verb.endswith("_type_name") else verb
     for name in (verb, f"{verb}_", OTHER.get(verb, "")):
         for m in MODULES:
             f = getattr(importlib.import_module(f"tessella.{m}"), name, None) if name else None

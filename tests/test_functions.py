@@ -36,7 +36,8 @@ def cases():
         "which": (C.which(arr(0, 1, 2)), [1, 2, 2]), "filter": (C.filter_(arr(1, 5), lambda x: x > 2), [5]),
         "divide": (M.divide(F.lit(7), F.lit(2)), 3.5), "divide by 0": (M.divide(F.lit(7), F.lit(0)), INF), "negative by 0": (M.divide(F.lit(-7), F.lit(0)), -INF), "0 by 0": (M.divide(F.lit(0), F.lit(0)), NAN), "null divided": (M.divide(NULL, F.lit(0)), None),
         **{f"mod {x}": (M.mod(F.lit(x), F.lit(2)), x % 2) for x in range(-4, 3)}, "mod 0": (M.mod(F.lit(4), F.lit(0)), None), "mod negative": (M.mod(F.lit(5), F.lit(-3)), -1),
-        "ln 0": (M.ln(F.lit(0)), -INF), "ln -1": (M.ln(F.lit(-1)), NAN), "log base": (M.log(F.lit(2), F.lit(8)), 3.0), "log10": (M.log(F.lit(1000)), 3.0), "lg": (M.lg(F.lit(8)), 3.0), "exp": (M.exp(F.lit(2), F.lit(3)), 8.0), "asin out": (M.asin(F.lit(2)), NAN), "sqrt": (M.sqrt(F.lit(9)), 3.0), "floor": (M.floor(F.lit(-1.5)), -2), "ceil": (M.ceil(F.lit(1.2)), 2), "erf": (M.erf(F.lit(0.5)), math.erf(0.5)), "erfc": (M.erfc(F.lit(0.5)), math.erfc(0.5)), "erf expression": (F.round(M.erf_expr(F.lit(-0.5)), 6), round(math.erf(-0.5), 6)),
+        "ln 0": (M.ln(F.lit(0)), -INF), "ln -1": (M.ln(F.lit(-1)), NAN), "log base": (M.log(F.lit(2), F.lit(8)), 3.0), "log10": (M.log(F.lit(1000)), 3.0), "lg": (M.lg(F.lit(8)), 3.0), "exp": (M.exp(F.lit(2), F.lit(3)), 8.0), "asin out": (M.asin(F.lit(2)), NAN), "sqrt": (M.sqrt(F.lit(9)), 3.0), "floor": (M.floor(F.lit(-1.5)), -2), "ceil": (M.ceil(F.lit(1.2)), 2), "erf": (M.erf(F.lit(0.5)), math.erf(0.5)), "erfc": (M.erfc(F.lit(0.5)), math.erfc(0.5)), "erf middle": (M.erf(F.lit(-1.5)), math.erf(-1.5)), "erfc far": (M.erfc(F.lit(20.0)), math.erfc(20.0)), "erf end": (M.erf(F.lit(-99)), -1.0),
+        "converge": (L.converge(lambda x: F.floor(x / 2).cast("bigint"), F.lit(9).cast("bigint")), 0), "reconverge": (L.reconverge(lambda x: F.floor(x / 2).cast("bigint"), F.lit(9).cast("bigint")), [9, 4, 2, 1, 0]), "n times": (L.repeat_times(lambda x: x * 2, 3, F.lit(1)), 8), "n times kept": (L.unfold_times(lambda x: x * 2, 3, F.lit(1)), [1, 2, 4, 8]),
         "take cycles": (L.take(5, arr(1, 2, 3)), [1, 2, 3, 1, 2]), "take from end": (L.take(-2, arr(1, 2, 3)), [2, 3]), "take none": (L.take(0, arr(1)), []), "take of empty": (L.take(3, arr()), []), "drop": (L.drop(2, arr(1, 2, 3)), [3]), "drop last": (L.drop(-2, arr(1, 2, 3)), [1]), "drop beyond": (L.drop(9, arr(1)), []), "car": (L.car(arr(4, 5)), 4), "car empty": (L.car(arr()), None), "cdr": (L.cdr(arr(4, 5)), [5]), "last": (L.last_of(arr(4, 5)), 5),
         "reverse": (L.reverse(arr(1, 2)), [2, 1]), "sort nulls first": (L.sort(F.array(F.lit(22), NULL, F.lit(-11), F.lit(0))), [None, -11, 0, 22]), "sort text": (L.sort_text(arr("FUNK", "funk", "FUN", "Funk", "GUNK", "fun", kind="string")), ["FUN", "fun", "FUNK", "Funk", "funk", "GUNK"]),
         "order": (L.order(arr(2, 4, 1, 9)), [1, 2, 0, 3]), "ascend": (L.ascend(arr(2, 4, 1, 2)), [2, 0, 3, 1]), "descend keeps ties": (L.descend(arr(2, 4, 1, 2)), [1, 0, 3, 2]), "distinct": (L.distinct(arr(2, 1, 2)), [2, 1]), "part": (L.part(arr(5, 6, 5)), {5: [0, 2], 6: [1]}),

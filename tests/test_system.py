@@ -29,6 +29,8 @@ def test_every_verb_is_found():
         assert callable(system.find(v)), v
     with pytest.raises(KeyError):
         system.find("nothing")
+    where = {"eval": "plans.dialect", "has_column": "operators.tables", "load": "sources.store", "table": "operators.tables", "split": "functions.arrays", "some_type": "functions.values", "converge": "functions.arrays"}
+    assert {v: system.find(v).__module__.removeprefix("tessella.") for v in where} == where
     assert "nulls" in system.help_("sort") and "select" in system.reserved()
 
 
@@ -60,7 +62,7 @@ def test_user_functions(spark):
     assert df.select(F.sum(double("x"))).first()[0] == 72
     spread = udf.aggregate(lambda x: float(x.max() - x.min()), "double")
     assert rows(df.groupBy("k").agg(spread("x").alias("s"))) == [(0, 6.0), (1, 6.0), (2, 6.0)]
-    assert udf.table(df, ["k"], lambda p: pd.DataFrame({"n": [len(p)]}), "n long").agg(F.sum("n")).first()[0] == 9
+    assert udf.table_function(df, ["k"], lambda p: pd.DataFrame({"n": [len(p)]}), "n long").agg(F.sum("n")).first()[0] == 9
     assert udf.parallel(df, lambda p: p[p.x > 5][["x"]], "x double").count() == 3
     assert rows(udf.fixpoint(df.select("k"), lambda d: d.select(F.greatest(F.col("k") - 1, F.lit(0)).alias("k"))).distinct()) == [(0,)]
     with pytest.raises(RuntimeError):
@@ -95,3 +97,30 @@ def test_core_stands_without_llm():
             assert "import" not in "".join(line for line in f.read_text().splitlines() if "tessella.llm" in line)
     code = "import sys; sys.modules['tessella.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('p9') for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_text_is_evaluated_in_the_language_only(spark):
+    from tessella.plans.dialect import DialectError, eval_
+
+    assert eval_(spark, "3 * 2 + 1") == 9 and eval_(spark, "x - 1", x=3) == 2
+    assert eval_(spark, "select max(id) as m from t", {"t": spark.range(5)}).first().m == 4
+    with pytest.raises(DialectError):
+        eval_(spark, "__import__('os')")
+
+
+def test_kinds_and_marks(spark):
+    from datetime import datetime
+
+    from tessella.functions import text, times, values
+    from tessella.schema import meta_table
+
+    t = datetime(2021, 5, 6, 7, 8, 9, 123456)
+    df = spark.createDataFrame([("a", 1, 2.5, t, [1], ["x"], {"k": 1})], "s string, i int, f double, t timestamp_ntz, l array<bigint>, m array<string>, d map<string,int>")
+    assert list(df.select(*[values.type_code(c) for c in df.columns], values.type_code(F.lit(None)), values.type_code(F.lit(1).cast("decimal(9,2)"))).first()) == [-1, 2, 3, 4, -2, 6, 7, 5, 3]
+    j = df.select(text.to_json(F.struct("t", "s"), "STAMP_").alias("j"))
+    assert j.first().j == '{"t":"STAMP_2021-05-06T07:08:09.123456","s":"a"}'
+    back = j.select(F.from_json("j", "t string, s string").alias("r")).select(text.stamp_of("r.t", "STAMP_"), text.stamp_of("r.s", "STAMP_")).first()
+    assert list(back) == [t, None]
+    assert [r[0] for r in spark.createDataFrame([(datetime(1970, 1, 1, 5),), (datetime(2021, 1, 1),), (t,), (None,)], "t timestamp_ntz").select(times.kind("t")).collect()] == ["time", "date", "datetime", None]
+    m = {r.name: (r.sorted, r.on_disk) for r in meta_table(df.orderBy("i")).collect()}
+    assert m["i"] == (True, False) and m["s"] == (False, False)

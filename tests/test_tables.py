@@ -107,14 +107,14 @@ def test_upsert(spark):
     new = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3), (None, 7), ("z", 1), ("z", 2), ("y", 9)], "k string, i int")
     got = rows(tables.upsert(old, new, ["k"], "i", "i"))
     assert got == [(None, 7), ("x", 3), ("y", 1), ("y", 9), ("z", 1), ("z", 2)]
-    assert rows(tables.upsert(old.limit(0), new.limit(2), ["k"])) == [("x", 1), ("x", 2)]
+    assert rows(tables.upsert(old.limit(0), new.limit(2), ["k"], "i")) == [("x", 1), ("x", 2)]
     rng = random.Random(0)
     state = {i: i for i in range(50)}
     df = spark.createDataFrame(list(state.items()), "k int, v int")
     for _ in range(2):
         batch = {rng.randint(0, 80): rng.randint(100, 999) for _ in range(30)}
         state |= batch
-        df = tables.upsert(df, spark.createDataFrame(list(batch.items()), "k int, v int"), ["k"])
+        df = tables.upsert(df, spark.createDataFrame(list(batch.items()), "k int, v int"), ["k"], "v")
     assert {r.k: r.v for r in df.collect()} == state
 
 
@@ -170,7 +170,7 @@ def test_schema():
 
 def test_null_mapping(spark):
     df = spark.createDataFrame([(float("nan"), "a"), (1.0, None)], "x double, s string")
-    assert rows(nan_to_null(df), "x") == [(None,), (1.0,)] and rows(meta_table(df)) == [("s", "string"), ("x", "double")]
+    assert rows(nan_to_null(df), "x") == [(None,), (1.0,)] and rows(meta_table(df), "name", "type") == [("s", "string"), ("x", "double")]
 
 
 TEXT = 'open,"en,um",n,when,skip\r\n1.5,"a,""b\\"c",12x,2003.09.14T04:03:19.025,z\r\n\r\n,,,2003.09.14T04:03:19.1,z,more\r\n'
