@@ -777,12 +777,6 @@ def lsq_fit(s, d):
     return s.createDataFrame([(round(a, 3), round(b, 5))], "a double, b double")
 
 
-@query()
-def matrix_inverse(s, d):
-    m = s.createDataFrame([(0, 0, 4.0), (0, 1, 7.0), (1, 0, 2.0), (1, 1, 6.0)], "i int, j int, v double")
-    return linalg.mmul(m, linalg.minv(m)).select("i", "j", F.round("v", 9).alias("v"))
-
-
 # storage
 
 
