@@ -25,6 +25,12 @@ def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
     return records.rejected(records.parsed_lines(table(spark, d, "simple_qesc"))).select("line_id", "file_name", "line_no", "edits", "reason")
 
 
+def p1_invalid(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose quotes and delimiters are right, but not all of their fields."""
+    x = records.rejected(records.parsed_lines(table(spark, d, "simple_qesc")))
+    return x.filter(F.col("edits").isNull()).select("line_id", "reason")
+
+
 def p1_loaded_stamps(spark: SparkSession, d: str) -> DataFrame:
     return records.loaded(records.parsed_stamps(table(spark, d, "data_stamps")))
 
@@ -51,6 +57,12 @@ def p3_instants(spark: SparkSession, d: str) -> DataFrame:
     return stamps.normalised(table(spark, d, "data_stamps"))
 
 
+def p3_utc(spark: SparkSession, d: str) -> DataFrame:
+    """The values that denote an instant."""
+    x = stamps.normalised(table(spark, d, "data_stamps")).filter("state = 'ok'")
+    return x.select("intcol", "field", F.unix_micros(F.col("instant").cast("timestamp")).alias("utc_us"), "nano")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.empty_runs(table(spark, d, SERIES)).select("enumstring", F.col("first_cell").alias("first_hour"), F.col("last_cell").alias("last_hour"))
 
@@ -68,7 +80,7 @@ def p6_flags(spark: SparkSession, d: str) -> DataFrame:
     return spikes.flagged_readings(table(spark, d, SERIES)).withColumn("deviation", F.round("deviation", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_rejected, p1_loaded_stamps, p1_rejected_stamps, p2_found, p2_totals, p3_found, p3_instants, p5_found, p5_series, p6_found, p6_flags)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p1_rejected, p1_invalid, p1_loaded_stamps, p1_rejected_stamps, p2_found, p2_totals, p3_found, p3_instants, p3_utc, p5_found, p5_series, p6_found, p6_flags)}
 
 READING = """
 r AS (SELECT enumstring, datetime, arg_min(struct_pack(o := open, h := high, l := low, c := close, v := volume), rowid) AS x
@@ -137,10 +149,10 @@ def _record(inside: str, between: str) -> str:
 
 # an escaped character stands for itself; doubled quotes need no decoding, as no typed value has a quote
 P1 = r"""
-WITH a AS (SELECT line_id, CASE WHEN line LIKE '%' || chr(13) THEN left(line, -1) ELSE line END AS line, delim FROM simple_qesc WHERE line_no > 1),
-b AS (SELECT line_id, line, CASE delim WHEN ',' THEN 'COMMA' WHEN ';' THEN 'SEMICOLON' WHEN '|' THEN 'PIPE' ELSE 'TAB' END AS p FROM a WHERE trim(line, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
-c AS (SELECT line_id, regexp_full_match(line, p, 's') AS ok, [GROUPS] AS f FROM b),
-d AS (SELECT line_id, ok, list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN regexp_replace(substr(x, 2, length(x) - 2), '\\(.)', '\1', 'gs') ELSE x END) AS f FROM c),
+WITH a AS (SELECT line_id, file_name, line_no, CASE WHEN line LIKE '%' || chr(13) THEN left(line, -1) ELSE line END AS line, delim FROM simple_qesc WHERE line_no > 1),
+b AS (SELECT line_id, file_name, line_no, line, CASE delim WHEN ',' THEN 'COMMA' WHEN ';' THEN 'SEMICOLON' WHEN '|' THEN 'PIPE' ELSE 'TAB' END AS p FROM a WHERE trim(line, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+c AS (SELECT line_id, file_name, line_no, regexp_full_match(line, p, 's') AS ok, [GROUPS] AS f FROM b),
+d AS (SELECT line_id, file_name, line_no, ok, f AS raw, list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN regexp_replace(substr(x, 2, length(x) - 2), '\\(.)', '\1', 'gs') ELSE x END) AS f FROM c),
 bad AS (SELECT 'simple_qesc' AS tab, line_id AS row_id FROM d WHERE NOT ok
   OR len(list_filter(f[1:4], lambda x: x <> '' AND NOT regexp_full_match(x, '[+-]?([0-9]+([.][0-9]+)?|[.][0-9]+)([eE][+-]?[0-9]+)?'))) > 0
   OR (f[5] <> '' AND (NOT regexp_full_match(f[5], '[+-]?[0-9]+') OR try_cast(f[5] AS BIGINT) IS NULL))
@@ -155,6 +167,24 @@ for _name, _text in {
     "STAMP": "[0-9]{4}[.][0-9]{2}[.][0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]",
 }.items():
     P1 = P1.replace(_name, _text)
+P1_LOADED = P1[:P1.index("st AS (SELECT")].rstrip(" ,\n") + r"""
+SELECT line_id, file_name, line_no, CAST(nullif(f[1], '') AS DOUBLE) AS open, CAST(nullif(f[2], '') AS DOUBLE) AS close, CAST(nullif(f[3], '') AS DOUBLE) AS high, CAST(nullif(f[4], '') AS DOUBLE) AS low, CAST(nullif(f[5], '') AS BIGINT) AS volume,
+  CASE WHEN raw[6] LIKE '"%' THEN regexp_replace(replace(substr(raw[6], 2, length(raw[6]) - 2), '""', '"'), '\\(.)', '\1', 'gs') ELSE raw[6] END AS astring,
+  CASE WHEN raw[7] LIKE '"%' THEN regexp_replace(replace(substr(raw[7], 2, length(raw[7]) - 2), '""', '"'), '\\(.)', '\1', 'gs') ELSE raw[7] END AS en_umstring,
+  try_strptime(f[8], '%Y.%m.%dT%H:%M:%S.%g') AS datetime
+FROM d WHERE ok AND line_id NOT IN (SELECT row_id FROM bad)
+"""
+P1_INVALID = P1[:P1.index("bad AS (SELECT")].rstrip(" ,\n") + r""",
+e AS (SELECT line_id, unnest(['open', 'close', 'high', 'low', 'volume', 'datetime']) AS name, unnest(['F', 'F', 'F', 'F', 'I', 'Z']) AS code, unnest([1, 2, 3, 4, 5, 8]) AS i, unnest(f[1:5] || f[8:8]) AS x FROM d WHERE ok),
+w AS (SELECT * FROM e WHERE x <> '' AND NOT CASE code WHEN 'F' THEN regexp_full_match(x, '[+-]?([0-9]+([.][0-9]+)?|[.][0-9]+)([eE][+-]?[0-9]+)?') WHEN 'I' THEN regexp_full_match(x, '[+-]?[0-9]+') AND try_cast(x AS BIGINT) IS NOT NULL
+  ELSE regexp_full_match(x, '[0-9]{4}[.][0-9]{2}[.][0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][.][0-9]{3}') AND try_cast(replace(left(x, 10), '.', '-') AS DATE) IS NOT NULL END)
+SELECT line_id, string_agg(name || ' is not valid for ' || code, '; ' ORDER BY i) AS reason FROM w GROUP BY 1
+"""
+BROKEN = r"""
+WITH s AS (SELECT *, [brokenmillis, brokennanos] AS x FROM data_stamps),
+t AS (SELECT *, list_transform([1, 2], lambda i: x[i] IS NULL OR x[i] = '' OR (regexp_full_match(x[i], '[0-9]{4}[.][0-9]{2}[.][0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]([.][0-9]+)?') AND length(x[i]) IN (19, 20 + CASE i WHEN 1 THEN 3 ELSE 9 END) AND try_cast(replace(left(x[i], 10), '.', '-') AS DATE) IS NOT NULL)) AS ok FROM s)
+"""
+WHEN = "CASE WHEN NAME <> '' THEN strptime(left(NAME, 19), '%Y.%m.%dT%H:%M:%S') + CAST(rpad(substr(NAME, 21, 6), 6, '0') AS BIGINT) * INTERVAL 1 MICROSECOND END AS NAME, CASE WHEN NAME <> '' THEN CAST(rpad(substr(NAME, 21, 9), 9, '0') AS BIGINT) END AS NAME_ns"
 
 # local times are tried at every quarter-hour offset; a time that fits once is read
 P3 = r"""
@@ -173,8 +203,15 @@ o AS (SELECT a.intcol, a.field, any_value(a.sec) AS sec, list(b.sec) AS others F
 SELECT intcol, field FROM o WHERE sec IS NULL OR len(list_filter(others, lambda y: y <> sec AND 2 * len(list_filter(others, lambda w: w = y)) > len(list_filter(others, lambda w: w IS NOT NULL)))) > 0
 """
 
+P3_UTC = P3[:P3.index("o AS (SELECT a.intcol")].rstrip(" ,\n").replace("s AS (SELECT k.intcol, k.field,", "s AS (SELECT k.intcol, k.field, CAST(rpad(CASE WHEN regexp_full_match(x, '[0-9]+') THEN substr(x, 11) ELSE m.frac END, 9, '0') AS BIGINT) AS nano,")
+
 ORACLE = {
     "p1_found": P1,
+    "p1_loaded": P1_LOADED,
+    "p1_invalid": P1_INVALID,
+    "p1_rejected_stamps": BROKEN + "SELECT intcol, concat_ws('; ', CASE WHEN NOT ok[1] THEN 'brokenmillis is not a stamp with 3 or no fraction digits' END, CASE WHEN NOT ok[2] THEN 'brokennanos is not a stamp with 9 or no fraction digits' END) AS reason FROM t WHERE NOT (ok[1] AND ok[2])",
+    "p1_loaded_stamps": BROKEN + f"SELECT intcol, millis, micros, nanos, seminanos, zone, {WHEN.replace('NAME', 'brokenmillis')}, {WHEN.replace('NAME', 'brokennanos')} FROM t WHERE ok[1] AND ok[2]",
+    "p3_utc": P3_UTC + " SELECT intcol, field, sec * 1000000 + nano // 1000 AS utc_us, nano FROM s WHERE sec IS NOT NULL",
     "p3_found": P3,
     "p2_found": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day FROM t WHERE day_no >= 30 AND total_7 * 2 > total_30",
     "p2_totals": DAYS + "SELECT enumstring, strftime(day, '%Y-%m-%d') AS day, total_7, round(total_7 / nullif(n_7, 0), 6) AS avg_7, total_30, round(total_30 / nullif(n_30, 0), 6) AS avg_30 FROM t",
