@@ -67,6 +67,7 @@ SCALARS = {
     "negate": M.negate, "not": C.not_, "mins": C.mins, "maxes": C.maxes, "between": lambda x, lo, hi: C.between(x, lo, hi), "tolower": text.tolower, "toupper": text.toupper, "trim": text.trim, "string": text.string, "float": text.float_, "int": text.int_, "parse_int": text.parse_int, "parse_float": text.parse_float,
     "isnull": values.isnull, "ifnull": values.ifnull, "checksum": text.checksum, "stamp": times.stamp, "stamp_diff": times.stamp_diff, "now": times.now, "now_date": times.now_date, "now_time": times.now_time, "plus": M.plus, "minus": M.minus, "times": M.times, "divide": M.divide, "equals": C.equals, "less": C.less, "greater": C.greater,
 }
+TEXTS = {"tolower", "toupper", "trim", "string", "parse_int", "parse_float", "isnull", "ifnull", "checksum"}
 FIELDS = {"year", "month", "day", "hour", "minute", "second", "week", "date", "time", "millisecond", "microsecond", "nanosecond"}
 
 
@@ -87,6 +88,11 @@ class Value:
     bare: bool = False
     many: list[Value] | None = None
     depth: int = 0
+    nested: tuple[str, str] | None = None  #: column and path of a key of a schemaless record
+
+    def typed(self, kind: str) -> Column:
+        """The column, a key of a schemaless record as ``kind``: whoever uses it knows the type it needs."""
+        return F.try_variant_get(F.col(self.nested[0]), self.nested[1], kind) if self.nested else self.column
 
 
 def _whole(v: Value) -> int:
@@ -260,10 +266,38 @@ class Parser:
 
     def table(self) -> tuple:
         if self.accept("("):
-            inner = ("select", self.select()) if self.word() == "select" else ("table", self.take())
+            inner = ("select", self.select()) if self.word() == "select" else self.table() if self.word() == "{" else ("table", self.take())
             self.take(")")
             return inner
-        return ("table", self.take())
+        return self.literal() if self.word() == "{" else ("table", self.take())
+
+    def literal(self) -> tuple:
+        """``{{a: 1 2, b: [3, 4], c}}``, a table; ``{a: 1, b: 2}``, a map; ``{[{...}, {...}]}``, an atlas."""
+        self.take("{")
+        if self.accept("["):
+            rows = [self.literal()]
+            while self.accept(","):
+                rows.append(self.literal())
+            self.take("]")
+            self.take("}")
+            return ("atlas", [r[1] for r in rows])
+        whole = self.accept("{")
+        cells: list[tuple[str, list]] = []
+        while self.word() != "}":
+            name = self.take()
+            name = name[1:-1] if name[0] in "'\"" else name
+            values = []
+            if self.accept(":"):
+                values.append(self.expression())
+                while self.more() and self.tokens[self.at][0] in ("num", "str", "stamp"):  # a list written without commas
+                    values.append(self.expression())
+            cells.append((name, values))
+            if not self.accept(","):
+                break
+        self.take("}")
+        if whole:
+            self.take("}")
+        return ("literal" if whole else "map", cells)
 
     def clauses(self, out: dict, allowed: set[str]) -> dict:
         while self.more() and self.word() != ")":
@@ -302,7 +336,11 @@ class Parser:
 
     def select(self) -> dict:
         self.take("select")
-        out = {"columns": self.named_list()}
+        out: dict = {}
+        if self.word() == "distinct":
+            self.take()
+            out["distinct"] = True
+        out["columns"] = self.named_list()
         self.take("from")
         out["table"] = self.table()
         return self.clauses(out, {"where", "group", "order", "limit"})
@@ -320,6 +358,17 @@ class Parser:
             out = ("delete", self.clauses({"table": self.table()}, {"where"}))
         elif w == "insert":
             out = ("insert", self.insert())
+        elif w == "{":
+            out = ("literal", {"tree": self.literal()})
+        elif self.more() and self.tokens[self.at][0] == "name" and self.word(1) == "[":
+            name = self.take()
+            self.take("[")
+            listed = self.accept("[")
+            keys = self.list_of()
+            if listed:
+                self.take("]")
+            self.take("]")
+            out = ("index", {"name": name, "keys": keys, "listed": listed})
         else:
             raise DialectError("expected select, insert, update or delete")
         if self.more():
@@ -339,7 +388,9 @@ class Parser:
             out["select"] = self.select()
         else:
             self.take("values")
-            if self.word() == "(":
+            if self.word() == "{":
+                out["literal"] = self.literal()
+            elif self.word() == "(":
                 out["rows"] = []
                 while True:
                     self.take("(")
@@ -366,10 +417,12 @@ class Engine:
 
     ``order`` names, for each table, the columns of a total order, which ``first``, ``last`` and moving
     functions need; a table without one refuses them. A statement on ``(table)`` in parentheses returns
-    the changed table without renaming it."""
+    the changed table without renaming it. ``functions`` are user functions of columns, such as
+    ``functions.udf.vector`` makes, by the name they have in statements."""
 
-    def __init__(self, spark: SparkSession, order: Mapping[str, list[str]] | None = None, variables: Mapping[str, object] | None = None):
+    def __init__(self, spark: SparkSession, order: Mapping[str, list[str]] | None = None, variables: Mapping[str, object] | None = None, functions: Mapping[str, Callable[..., Column]] | None = None):
         self.spark, self.tables, self.order, self.variables = spark, {}, dict(order or {}), dict(variables or {})
+        self.functions = {k.lower(): f for k, f in (functions or {}).items()}
 
     def add(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
         self.tables[name] = df
@@ -382,6 +435,10 @@ class Engine:
         kind, q = p.statement()
         if kind == "select":
             return self.select(q)
+        if kind == "index":
+            return self.indexed(**q)
+        if kind == "literal":
+            return self.literal(q["tree"])
         out = getattr(self, kind)(q)
         opened = re.match(r"\s*(update|delete\s+from|insert\s+into)\s*\(", source, re.I)
         if q["table"][0] == "table" and not opened:
@@ -393,10 +450,44 @@ class Engine:
             return self.select(t[1]), []
         if t[0] == "plan":
             return t[1], t[2]
+        if t[0] in ("literal", "map", "atlas"):
+            return self.literal(t), []
         if t[1] not in self.tables:
             raise DialectError(f"no table {t[1]!r}")
         return self.tables[t[1]], self.order.get(t[1], [])
 
+    def literal(self, t: tuple) -> DataFrame:
+        """The table of a literal: lists of one element are repeated, a column without values is empty. An
+        atlas, or a map with a nested value, gives the union of its keys; missing ones are null."""
+        rows = [dict(r) for r in (t[1] if t[0] == "atlas" else [t[1]])]
+        names = list(dict.fromkeys(n for r in rows for n in r))
+        tr, out = Translator(self, self.spark.range(1), []), []
+        for r in rows:
+            lists = {n: [x for v in r.get(n, []) for x in (tr(v).many or [tr(v)])] for n in names}
+            height = max(map(len, lists.values()), default=0)
+            if any(len(x) not in (0, 1, height) for x in lists.values()) or t[0] != "atlas" and any(not x for x in lists.values()) and height:
+                raise DialectError("columns differ in length")
+            cells = [F.array(*[v.column for v in (x * height if len(x) == 1 else x)]).alias(n) if x else F.lit(None).alias(n) for n, x in lists.items()]
+            one = self.spark.range(1).select(*cells)
+            if height:
+                there = [n for n, x in lists.items() if x]
+                one = one.select(F.posexplode(F.arrays_zip(*there)).alias("_at", "_x"), *[n for n in names if n not in there]).select(*[F.col(f"_x.{n}") if n in there else F.col(n) for n in names])
+            else:
+                one = one.limit(0)
+            out.append(one)
+        return reduce(lambda a, b: a.unionByName(b), out)
+
+    def indexed(self, name: str, keys: list[tuple], listed: bool) -> DataFrame:
+        """``t[[a, b]]`` gives columns, ``t[[0, 2]]`` rows, ``t['a']`` one column, ``t[2]`` one row; places need the table's order."""
+        df, order = self.source(("table", name))
+        if all(k[0] in ("name", "str") for k in keys):
+            return df.select(*[k[1] if k[0] == "name" else k[1][1:-1] for k in keys])
+        if not all(k[0] == "num" for k in keys):
+            raise DialectError("an index is a list of columns or of places")
+        if not order:
+            raise DialectError("places need the table's order")
+        return tables.rows_at(df, [int(k[1]) for k in keys], order)
+
     def where(self, df: DataFrame, terms: list[tuple], order: list[str]) -> DataFrame:
         for t in terms:
             v = Translator(self, df, order, scalar=True)(t)
@@ -421,7 +512,7 @@ class Engine:
             if any(v.bare for v, _ in cols):
                 raise DialectError("a grouped select takes aggregates only; use update ... group by for values per row")
             names = uncollide([n or v.name for v, n in keys + cols])
-            out = df.groupBy(*[v.column.alias(f"_k{i}") for i, (v, _) in enumerate(keys)]).agg(*[v.column.alias(f"_a{i}") for i, (v, _) in enumerate(cols)])
+            out = df.groupBy(*[v.typed("string").alias(f"_k{i}") for i, (v, _) in enumerate(keys)]).agg(*[v.column.alias(f"_a{i}") for i, (v, _) in enumerate(cols)])
             out = out.toDF(*names)
         else:
             tr = Translator(self, df, order, steps=Steps([], order) if order else None)
@@ -438,11 +529,13 @@ class Engine:
                 for e, name in q["columns"]:
                     again += [tr(("name", c)) for c in df.columns] if e == ("star",) else [tr(e)]
                 out = (tr.steps.apply(df) if tr.steps else df).select(*[v.column.alias(n) for v, n in zip(again, names)])
+        if q.get("distinct"):
+            out = out.distinct()
         if "order" in q:
             try:
                 out = out.orderBy(*self.sorting(out, q["order"]))
             except DialectError:  # by columns that aren't selected
-                if "group" in q:
+                if "group" in q or q.get("distinct"):
                     raise
                 out = self.select({k: v for k, v in q.items() if k not in ("order", "limit", "where")} | {"table": ("plan", df.orderBy(*self.sorting(df, q["order"])), order)})
         if "limit" in q:
@@ -460,7 +553,7 @@ class Engine:
             df = df.withColumn("_hit", cond)
         keys = []
         for i, (e, _) in enumerate(q.get("group", [])):
-            df = df.withColumn(f"_g{i}", Translator(self, df, order)(e).column)
+            df = df.withColumn(f"_g{i}", Translator(self, df, order)(e).typed("string"))
             keys.append(f"_g{i}")
         for name, e in q["set"]:
             if cond is not None and name not in df.columns:
@@ -483,6 +576,12 @@ class Engine:
             new = self.select(q["select"])
         elif "source" in q:
             new = self.source(("table", q["source"]))[0]
+        elif "literal" in q:
+            new, kinds = self.literal(q["literal"]), dict(df.dtypes)
+            unknown = set(new.columns) - set(kinds)
+            if unknown:
+                raise DialectError(f"no columns {sorted(unknown)}")
+            new = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns])
         else:
             if any(len(r) != len(cols) for r in q["rows"]):
                 raise DialectError(f"a row needs {len(cols)} values")
@@ -576,7 +675,7 @@ class Translator:
         kinds = dict(self.df.dtypes)
         if rest and head in kinds:
             if kinds[head] == "variant":
-                return Value(F.try_variant_get(F.col(head), "$." + rest, "double"), None, rest.replace(".", "_"), bare=True)
+                return Value(F.try_variant_get(F.col(head), "$." + rest, "variant"), None, rest.replace(".", "_"), bare=True, nested=(head, "$." + rest))
             if rest in FIELDS and kinds[head].startswith("timestamp"):
                 return Value(times.field(rest, head), None, head, bare=True)
             return Value(F.col(name), None, rest.replace(".", "_"), bare=True)
@@ -594,7 +693,7 @@ class Translator:
     def _unary(self, op: str, e: tuple) -> Value:
         v = self(e)
         f = M.negate if op == "-" else C.not_
-        return Value(f(v.column), -v.plain if op == "-" and isinstance(v.plain, (int, float)) else None, v.name, aggregates=v.aggregates, bare=v.bare, depth=v.depth)
+        return Value(f(v.typed("double")), -v.plain if op == "-" and isinstance(v.plain, (int, float)) else None, v.name, aggregates=v.aggregates, bare=v.bare, depth=v.depth)
 
     def _index(self, e: tuple, i: tuple) -> Value:
         """A field of a stamp, ``t['year']``, or an element of a list."""
@@ -625,6 +724,10 @@ class Translator:
         if x.many is not None or y.many is not None:
             raise DialectError(f"a list can't stand beside {op}")
         f = BINARY[op]
+        if x.nested or y.nested:  # text beside text, else a number
+            kind = "string" if any(self.kind(c) == "string" for c in (x, y)) or x.nested and y.nested and op in ("=", "==", "!=", "<>") else "double"
+            x, y = (Value(c.typed(kind), None, c.name) if c.nested else c for c in (x, y))
+            return Value(f(x.column, y.column, text=True) if kind == "string" and op in ("<", ">", "<=", ">=") else f(x.column, y.column), None, name, **more)
         if op in ("<", ">", "<=", ">=") and any(self.kind(c) == "string" for c in (x, y)):
             return Value(f(x.column, y.column, text=True), None, name, **more)
         return Value(f(x.column, y.column), None, name, **more)
@@ -641,6 +744,8 @@ class Translator:
             some = y.plain.toDF("_in").alias("_some")  # the alias hides the subselect's own columns
             return Value(some.filter(F.col("_in").eqNullSafe(x.column.outer())).exists(), None, x.name, aggregates=x.aggregates, bare=x.bare, depth=x.depth)
         items = y.many if y.many is not None else [y]
+        if x.nested:
+            x = Value(x.typed("string" if any(isinstance(i.plain, str) for i in items) else "double"), None, x.name, bare=True)
         return Value(C.in_(x.column, [i.plain for i in items]), None, x.name, aggregates=x.aggregates, bare=x.bare, depth=x.depth)
 
     def _call(self, name: str, args: list[tuple]) -> Value:
@@ -652,7 +757,7 @@ class Translator:
                 raise DialectError("an aggregate of an aggregate needs a nested select")
             if low in ("first", "last") and not self.order:
                 raise DialectError(f"{low} needs the table's order")
-            c = AGGREGATES[low](got[0].column, F.struct(*self.order) if self.order else None)
+            c = AGGREGATES[low](got[0].typed("string" if low in ("count", "len", "count_null", "count_nonnull", "first", "last") else "double"), F.struct(*self.order) if self.order else None)
             if self.grouped:
                 return Value(self.steps.aggregate(c), None, column)
             if self.scalar:
@@ -673,8 +778,11 @@ class Translator:
                 return Value(times.time_bars(got[0].relative, got[1].column, origin, first=len(got) < 3), None, column, bare=bare)
             return Value(times.bars(got[0].column, got[1].column), None, column, bare=bare)
         if low == "distinct" and len(got) == 1:
-            raise DialectError("distinct stands alone: use tables.distinct")
-        if low not in SCALARS:
+            raise DialectError("distinct stands alone, after select")
+        if low not in SCALARS and low not in self.engine.functions:
             raise DialectError(f"no function {name!r}")
+        if low in self.engine.functions:
+            return Value(self.engine.functions[low](*[v.typed("double") for v in got]), None, column, aggregates=aggs, bare=bare, depth=max([v.depth for v in got], default=0))
+        got = [Value(v.typed("string" if low in TEXTS else "double"), None, v.name) if v.nested else v for v in got]
         plain = [v.column if v.plain is None or low not in ("parse_int",) or i == 0 else v.plain for i, v in enumerate(got)]
         return Value(SCALARS[low](*plain), None, column, aggregates=aggs, bare=bare, depth=max([v.depth for v in got], default=0))

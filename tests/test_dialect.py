@@ -74,3 +74,33 @@ def test_subselect_of_any_length(spark):
     assert e.run("select id from t where x in (select x from t where id != 3)").count() == 19_999
     assert sorted(r.id for r in e.run("select id from t where (x in (select x from t where id > 8)) = false").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
     assert [r.id for r in e.run("select id from t where id = (select max(id) from t)").collect()] == [19_999]
+
+
+def test_literals_and_indexing(spark):
+    e = Engine(spark, order={"t": ["a"]})
+    assert rows(e.run("{{a: 1 2 3, b: [4, 5, 6], c: 'x'}}")) == [(1, 4, "x"), (2, 5, "x"), (3, 6, "x")]
+    assert e.run("{{a, b}}").columns == ["a", "b"] and e.run("{{a, b}}").count() == 0
+    e.add("t", e.run("{{a: 1 2 3, b: 4 5 6}}"))
+    assert rows(e.run("select sum(b) as s from {{b: 1 2 4}}")) == [(7,)]
+    assert e.run("t[[b]]").columns == ["b"] and e.run("t[['b', 'a']]").columns == ["b", "a"] and e.run("t['b']").columns == ["b"]
+    assert [tuple(r) for r in e.run("t[[2, 0, 2]]").collect()] == [(3, 6), (1, 4), (3, 6)] and rows(e.run("t[1]")) == [(2, 5)]
+    e.run("insert into t values {a: 9, b: 8}")
+    e.run("insert into t values {[{a: 10}, {b: 11, a: 12}]}")
+    assert rows(e.run("select a, b from t where a > 3")) == [(10, None), (12, 11), (9, 8)]
+    for bad in ("{{a: 1 2, b: 1 2 3}}", "insert into t values {z: 1}", "u[1]"):
+        with pytest.raises(DialectError):
+            e.run(bad)
+
+
+def test_distinct_nested_keys_and_user_functions(spark):
+    from tessella.functions import udf
+    from tessella.operators.atlas import atlas
+
+    e = Engine(spark, functions={"twice": udf.vector(lambda x: x * 2, "double")})
+    e.add("t", spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "a int, s string"))
+    assert rows(e.run("select distinct s from t")) == [("x",), ("y",)] and rows(e.run("select distinct s from t order by s desc limit 1")) == [("y",)]
+    assert rows(e.run("select twice(a) as d from t where twice(a) > 3")) == [(4.0,), (6.0,)]
+    e.add("j", atlas(spark.createDataFrame([('{"a": "x", "b": 1, "c": {"d": 5}}',), ('{"a": "y", "b": 2}',), ('{"a": "x"}',)], "json string"), "json"))
+    assert rows(e.run("select count(*) as n, sum(v.b) as b from j group by v.a")) == [("x", 2, 1.0), ("y", 1, 2.0)]
+    assert e.run("select v.a from j where v.a = 'x'").count() == 2 and e.run("select v.b from j where v.b > 1").count() == 1
+    assert e.run("select v.a from j where v.a in ['x', 'z']").count() == 2 and rows(e.run("select toupper(v.a) as u, v.c.d + 1 as d from j where v.c.d = 5")) == [("X", 6.0)]
