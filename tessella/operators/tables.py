@@ -6,6 +6,8 @@ Tables have no row order of their own; operators that need one take the columns
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
@@ -216,11 +218,19 @@ def update(df: DataFrame, sets: Sequence[tuple[str, Column]], where: Column | No
 
 
 def update_by(df: DataFrame, keys: Sequence[str], sets: Mapping[str, Column], order: Sequence[str] = ()) -> DataFrame:
-    """Expressions computed per group and written to every row of it. Aggregates, and window functions
-    built by ``lambda w: ...`` over the group in ``order``."""
-    w = W.partitionBy(*keys)
-    ordered: WindowSpec = w.orderBy(*order) if order else w
-    return df.withColumns({n: e(ordered) if callable(e) and not isinstance(e, Column) else e.over(w) for n, e in sets.items()})
+    """Expressions computed per group and written to every row of it. Aggregates are taken map-side and joined
+    back (null equals null), so that no group meets in one task; window functions, built by
+    ``lambda w: ...`` over the group in ``order``, are one task's work for a group: ``operators.moving`` has
+    them for groups of any size."""
+    windows = {n: e for n, e in sets.items() if callable(e) and not isinstance(e, Column)}
+    totals = {n: e for n, e in sets.items() if n not in windows}
+    out = df
+    if totals:
+        g = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(*[e.alias(f"_t{i}") for i, e in enumerate(totals.values())])
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        out = out.join(g, same, "left").withColumns({n: F.col(f"_t{i}") for i, n in enumerate(totals)}).drop(*g.columns)
+    ordered: WindowSpec = W.partitionBy(*keys).orderBy(*order) if order else W.partitionBy(*keys)
+    return out.withColumns({n: e(ordered) for n, e in windows.items()}) if windows else out
 
 
 def delete(df: DataFrame, where: Column) -> DataFrame:

@@ -384,3 +384,36 @@ def dialect_update_moving(s, d):
 def dialect_order(s, d):
     x = _engine(s, d).run("select count(*) as n, max(value) * 2 as high from events where value > lim group by event_type order by n desc limit 3")
     return x.withColumn("high", F.round("high", 4))
+
+
+@query("SELECT DISTINCT event_type FROM events WHERE value > 3")
+def dialect_distinct(s, d):
+    return _engine(s, d).run("select distinct event_type from events where value > 3")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 20 UNION ALL SELECT -1, 5 UNION ALL SELECT -2, NULL")
+def dialect_literals(s, d):
+    e = _engine(s, d)
+    e.add("prices", e.run("select o_orderkey, o_totalprice from orders where o_orderkey > 20"), ["o_orderkey"])
+    return e.run("insert into prices values {[{o_orderkey: -1, o_totalprice: 5}, {o_orderkey: -2}]}")
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS total FROM events GROUP BY 1")
+def dialect_nested_keys(s, d):
+    from tessella.operators.atlas import atlas
+
+    e = _engine(s, d)
+    e.add("records", atlas(table(s, d, "events"), "props", ["event_id"]))
+    return e.run("select count(*) as n, sum(v.k) as total from records group by v.k")
+
+
+@query("SELECT event_id, round(value * 2, 6) AS twice FROM events WHERE value * 2 > 50")
+def dialect_user_function(s, d):
+    e = _engine(s, d)
+    e.functions["twice"] = udf.vector(lambda x: x * 2, "double")
+    return e.run("select event_id, twice(value) as twice from events where twice(value) > 50").withColumn("twice", F.round("twice", 6))
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS r FROM events) WHERE r IN (0, 7, 700)")
+def dialect_places(s, d):
+    return _engine(s, d).run("events[[0, 7, 700]]").select("event_id", "event_type")
