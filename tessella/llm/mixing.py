@@ -10,14 +10,13 @@ from pyspark.sql import Window as W
 
 from tessella.llm.packing import numbered
 
-MOST_TARGETS = 100_000
 
-
-def targets_of(table: DataFrame) -> list[tuple[str, float, int]]:
-    """``(source, target_share, max_repeats)``; the table of targets is small by contract."""
-    rows = table.select("source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} target sources")
+def targets_of(table: DataFrame, most: int = 100_000) -> list[tuple[str, float, int]]:
+    """``(source, target_share, max_repeats)``. The plan is made on the driver from one row per source; more than
+    ``most`` are an error."""
+    rows = table.select("source", "target_share", "max_repeats").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} target sources")
     out = [(r.source, float(r.target_share), int(r.max_repeats)) for r in rows if r.source is not None and (r.target_share or 0) > 0 and (r.max_repeats or 0) > 0]
     if len({s for s, _, _ in out}) < len(out):
         raise ValueError("a source has two targets")
