@@ -142,7 +142,7 @@ def scales(chunks: DataFrame, ends: DataFrame, near: DataFrame, most: int) -> Da
     radix selection: counts by leading bits, then by finer ones within the bucket that holds the middle,
     until few enough changes are left to count by value."""
     heads = near.filter("head and kind >= 4 and before is not null").select("k", (F.col("kind") - 4).alias("p"), F.abs(F.col("v") - F.col("before")).alias("d"))
-    heads = durable(heads.mapInArrow(_as_bits, "k string, p int, b bigint"))
+    heads = heads.mapInArrow(_as_bits, "k string, p int, b bigint")
     total = lambda c: c.groupBy("k", "p", "b").agg(F.sum("n").alias("n"))
     head_counts = lambda h, shift: h.select("k", "p", F.shiftright("b", shift).alias("b"), F.lit(1).cast("bigint").alias("n"))
     counts = ends.select("k", F.explode("x1").alias("c")).select("k", "c.*").unionByName(head_counts(heads, LEVELS[0]))
