@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import json
 import subprocess
 import time
 from collections.abc import Callable, Sequence
@@ -10,6 +11,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 _POOL = ThreadPoolExecutor(4)
 
@@ -38,6 +40,40 @@ def send_async(spark: SparkSession, statement: str, **args) -> Future:
     return _POOL.submit(send_sync, spark, statement, **args)
 
 
+def logged(spark: SparkSession, log: str, statement: str, **args) -> list:
+    """``send_sync``, after the statement and its values are added to a log, a file of JSON lines."""
+    with open(log, "a") as f:
+        f.write(json.dumps({"statement": statement, "args": args}) + "\n")
+    return send_sync(spark, statement, **args)
+
+
+def replay(spark: SparkSession, log: str) -> list[list]:
+    """The results of a log's statements, run again in their order."""
+    with open(log) as f:
+        return [send_sync(spark, x["statement"], **x["args"]) for x in map(json.loads, f)]
+
+
+class _Ended(StreamingQueryListener):
+    def __init__(self, f: Callable[[str], None]):
+        self.f = f
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.f(str(event.id))
+
+
+def on_close(spark: SparkSession, f: Callable[[str], None]) -> StreamingQueryListener:
+    """Calls ``f`` with a stream's id when it ends; the listener can be removed from ``spark.streams`` again."""
+    out = _Ended(f)
+    spark.streams.addListener(out)
+    return out
+
+
 def connect(url: str) -> SparkSession:
     """A session on a remote Spark server (``sc://host:port``)."""
     return SparkSession.builder.remote(url).getOrCreate()

@@ -124,3 +124,22 @@ def test_kinds_and_marks(spark):
     assert [r[0] for r in spark.createDataFrame([(datetime(1970, 1, 1, 5),), (datetime(2021, 1, 1),), (t,), (None,)], "t timestamp_ntz").select(times.kind("t")).collect()] == ["time", "date", "datetime", None]
     m = {r.name: (r.sorted, r.on_disk) for r in meta_table(df.orderBy("i")).collect()}
     assert m["i"] == (True, False) and m["s"] == (False, False)
+
+
+def test_log_and_replay_and_end_of_streams(spark, tmp_path):
+    import time
+
+    log = str(tmp_path / "log")
+    assert system.logged(spark, log, "select :x + 1 as y", x=2)[0].y == 3 and system.logged(spark, log, "select 'a' as z")[0].z == "a"
+    assert [r[0][0] for r in system.replay(spark, log)] == [3, "a"]
+    ended = []
+    hook = system.on_close(spark, ended.append)
+    spark.range(1).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    for _ in range(100):
+        if ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(hook)
+    assert ended == [q.id]
